@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import components, copies, together
+from linkloom.llm import components, copies, packing, together, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,8 +48,21 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("kind").alias("basket"), "item_a", "item_b")
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_ids(_table(spark, folder, "documents"), "doc_id", "text")
+
+
+#: Tokens that a container of p8_packed holds.
+CAPACITY = 2048
+
+
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = tokens.token_counts(_table(spark, folder, "documents"), "doc_id", "text")
+    return packing.packed(sizes, "doc_id", "n_tokens", CAPACITY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed}
 
 
 def oracle_sql() -> dict[str, str]:
