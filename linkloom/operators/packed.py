@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.functions.columns import computed_once
+
 #: Candidates for what stands between the values of a record, and between records.
 VALUE_DELIMITERS = ("##", "::", "~", "#", "\t")
 RECORD_DELIMITERS = (",", ";", "|", "/", "\n")
@@ -15,7 +17,7 @@ RECORD_DELIMITERS = (",", ";", "|", "/", "\n")
 #: Characters that quoting or a backslash makes ordinary; they travel as private-use characters.
 SPECIAL = ",;|/\n()[]{}#:~\t\"'\\“”«»‘’"
 MASKED = "".join(chr(0xE100 + k) for k in range(len(SPECIAL)))
-OPEN, CLOSE = "", ""
+OPEN, CLOSE = "\ue000", "\ue001"
 
 #: Fixed value: how the last value of a record begins, a span of time.
 SPAN = r"^\s*(?:\p{N}|(?:since|until|from)\b|\p{L}{3,9}\.? \p{N}{4}|שנ|חודש)"
@@ -61,11 +63,6 @@ def unmasked(text: Column) -> Column:
 _CUT = "\ue002"
 
 
-def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """rows with a column whose value is computed once, however many later expressions use it."""
-    return rows.select("*", F.explode(F.array(value)).alias(name))
-
-
 def _records(text: Column, between: Column, most: int) -> Column:
     """text, split at any character of `between`."""
     return F.split(F.call_function("translate", text, between, F.lit(_CUT * most)), _CUT)
@@ -124,13 +121,13 @@ def split_packed(
     every = "".join(record_delimiters)
     edge = "[\\s" + "".join(record_delimiters).replace("\n", "") + "]"
     held = rows.select(F.struct(*kept) if kept else F.lit(None), F.col(column)).toDF("_kept", "_field").where("_field is not null")
-    held = _once(held, "_plain", stripped(masked(F.col("_field")))).drop("_field")
+    held = computed_once(held, "_plain", stripped(masked(F.col("_field")))).drop("_field")
     held = held.where((F.length("_plain") > 0) & ~F.col("_plain").rlike("^[-‐-―−]+$"))
-    held = _once(held, "_core", F.regexp_replace("_plain", f"^{edge}+|{edge}+$", "")).drop("_plain")
+    held = computed_once(held, "_core", F.regexp_replace("_plain", f"^{edge}+|{edge}+$", "")).drop("_plain")
     core = F.col("_core")
     inner = F.substring(core, F.lit(2), F.greatest(F.length(core) - 2, F.lit(0)))
     boxed = F.regexp_replace(inner, rf"[)\]}}]\s*(?:{edge}\s*)*[(\[{{]", _CUT)
-    held = _once(held, "_text", F.when(core.rlike(r"(?s)^[(\[{].*[)\]}]$"), boxed).otherwise(core)).drop("_core")
+    held = computed_once(held, "_text", F.when(core.rlike(r"(?s)^[(\[{].*[)\]}]$"), boxed).otherwise(core)).drop("_core")
     text = F.col("_text")
     of_boxed = [(d, "") for d in value_delimiters]
     of_bare = [(d, b) for d in value_delimiters for b in [*record_delimiters, every, ""]]
@@ -148,7 +145,7 @@ def split_packed(
     scored = F.transform(possible, lambda c: _candidate(text, c, wide, most))
     # a field without any value delimiter holds values of the first kind only
     bare_values = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("order"), F.lit(value_delimiters[0]).alias("d"), F.lit(every).alias("b"))
-    held = _once(held, "_best", F.coalesce(F.array_max(scored), bare_values))
+    held = computed_once(held, "_best", F.coalesce(F.array_max(scored), bare_values))
     pattern = F.concat(F.lit("\\Q"), F.col("_best.d"), F.lit("\\E"))
 
     def tidy(pieces: Column) -> Column:
