@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import components, copies, packing, together, tokens
+from linkloom.llm import components, copies, packing, sentences, together, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,8 +61,13 @@ def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    units = sentences.sentence_units(_table(spark, folder, "documents"), "doc_id", "text")
+    return units.select("doc_id", "start_char", "end_char")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
