@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import components, copies, packing, sentences, together, tokens
+from linkloom.llm import components, copies, linking, packing, sentences, together, tokens, variants
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    entities = _table(spark, folder, "entity_database")
+    rows = _table(spark, folder, "org_entity_matches")
+    return linking.linked(rows, "match_id", "org_name", "entity_name", entities, "id", ["name", "name_eng"])
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     found = copies.formatting_copies(
         _table(spark, folder, "guests"),
@@ -29,6 +35,24 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return components.components(_table(spark, folder, "merge_pairs"), "term1", "term2")
 
 
+def _spelled(names: DataFrame) -> DataFrame:
+    return names.where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    guests = _table(spark, folder, "guests")
+    organisations = guests.select(F.col("raw_company").alias("name")).unionByName(
+        _table(spark, folder, "article_baskets").select(F.col("organization").alias("name"))
+    )
+    people = _spelled(guests.select(F.col("full_name").alias("name")))
+    of_people = variants.persons(people, _table(spark, folder, "nicknames"))
+    of_organisations = variants.organisations(_spelled(organisations))
+    pairs = variants.spelling_pairs(of_people).select(F.lit("person").alias("kind"), "name_a", "name_b")
+    return pairs.unionByName(
+        variants.spelling_pairs(of_organisations).select(F.lit("organisation").alias("kind"), "name_a", "name_b")
+    )
+
+
 def _baskets(spark: SparkSession, folder: str) -> DataFrame:
     meetings = _table(spark, folder, "guests").select(
         F.lit("meeting").alias("kind"),
@@ -67,7 +91,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
