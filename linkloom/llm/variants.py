@@ -145,7 +145,9 @@ def organisations(spelled: DataFrame) -> DataFrame:
                     continue
                 consonants = names.skeleton(core)
                 hebrew = any("א" <= ch <= "ת" for ch in core)
-                space, key = ("c", "") if not core else ("s", consonants) if hebrew or len(consonants) >= 6 else ("r", core)
+                # transliterated cores have more consonants than vowels and end with one
+                hebrew = hebrew or len(consonants) >= (6 if core and core[-1] not in "aeiou" else 7)
+                space, key = ("c", "") if not core else ("s", consonants) if hebrew else ("r", core)
                 out.append((name, rows, space, key, main, main))
             yield pd.DataFrame(out, columns=["name", "rows", "space", "key", "marks", "strong"])
 
@@ -153,7 +155,9 @@ def organisations(spelled: DataFrame) -> DataFrame:
     profiles = written(spelled.select("name", "rows").mapInPandas(parsed, schema))
     bare = (F.size("marks") == 0) | (F.size("o_marks") == 0)
     share = F.arrays_overlap("marks", "o_marks")
-    groups = _key_groups(profiles.where("space <> 'c'"), share | (bare & (F.col("d") <= RADIUS)))
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    swapped = letters("a") == letters("b")  # two letters in the wrong order are two edits
+    groups = _key_groups(profiles.where("space <> 'c'"), share | (bare & ((F.col("d") <= RADIUS) | swapped)))
     placed = profiles.join(groups, ["space", "key"], "left").select("name", F.coalesce("comp", F.lit("")).alias("comp"), "marks")
     placed = written(placed)
     kinds = placed.select("comp", "marks").distinct()
