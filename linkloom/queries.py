@@ -5,22 +5,717 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkloom.operators import packed
+from linkloom.functions import html, similarity, text
+from linkloom.operators import appointments, baskets, entities, graph, mergesets, packed, reconcile, rules
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        _QUERIES[function.__name__] = function
+        if sql is not None:
+            _SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def rounded(rows: DataFrame, *columns: str) -> DataFrame:
+    for c in columns:
+        rows = rows.withColumn(c, F.round(c, 6))
+    return rows
+
+
+# --- packed fields ---------------------------------------------------------------------------
+
+
+@query()
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     filed = table(spark, folder, "appointments").select("appointment_id", "prior_jobs")
     return packed.split_packed(filed, "prior_jobs", ["prior_role", "prior_company", "prior_duration"])
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found}
+# --- baskets and pairs -----------------------------------------------------------------------
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as baskets of part names."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"))
+    names = table(spark, folder, "part").select("p_partkey", "p_name")
+    return lines.join(names, "p_partkey").select("l_orderkey", "p_name")
+
+
+def _bought(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as baskets of part names."""
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return _parts(spark, folder).join(orders, "l_orderkey").select("o_custkey", "p_name")
+
+
+_RELATION = "rel AS (SELECT DISTINCT l_orderkey AS basket, p_name AS item FROM lineitem JOIN part ON p_partkey = l_partkey)"
+_CUSTOMERS = (
+    "rel AS (SELECT DISTINCT o_custkey AS basket, p_name AS item FROM lineitem JOIN part ON p_partkey = l_partkey"
+    " JOIN orders ON o_orderkey = l_orderkey)"
+)
+_COUNTS = (
+    "tot AS (SELECT count(DISTINCT basket) AS n FROM rel), cnt AS (SELECT item, count(*) AS c FROM rel GROUP BY item),"
+    " ij AS (SELECT a.item AS item_i, b.item AS item_j, count(*) AS n_ij FROM rel a JOIN rel b ON a.basket = b.basket"
+    " AND a.item < b.item GROUP BY 1, 2),"
+    " sup AS (SELECT item_i, item_j, n_ij, x.c AS n_i, y.c AS n_j, n FROM ij JOIN cnt x ON x.item = item_i"
+    " JOIN cnt y ON y.item = item_j CROSS JOIN tot)"
+)
+#: Least support of the pair queries, that of the reference's articles.
+SUPPORT = 0.0002
+
+
+def _pairs_sql(score: str, relation: str = _RELATION, support: float = SUPPORT) -> str:
+    return (
+        f"WITH {relation}, {_COUNTS}, s AS (SELECT item_i, item_j, {score} AS score FROM sup WHERE n_ij >= n * {support})"
+    )
+
+
+_LIFT = "n_ij::DOUBLE * n / (n_i::DOUBLE * n_j)"
+_JACCARD = "n_ij::DOUBLE / (n_i + n_j - n_ij)"
+
+
+@query("SELECT basket, list_sort(list(DISTINCT item)) AS items, count(DISTINCT item)::BIGINT AS n FROM (SELECT l_orderkey AS basket, p_name AS item FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY basket")
+def basket_sets(spark, folder):
+    relation = baskets.basket_relation(_parts(spark, folder), "l_orderkey", "p_name")
+    return baskets.item_sets(relation, "basket", "item").select(F.col("key").alias("basket"), F.col("values").alias("items"), "n")
+
+
+@query(f"WITH {_RELATION} SELECT item, count(*)::BIGINT AS n_item, round(count(*)::DOUBLE / (SELECT count(DISTINCT basket) FROM rel), 6) AS support FROM rel GROUP BY item")
+def item_support(spark, folder):
+    return rounded(baskets.item_support(baskets.basket_relation(_parts(spark, folder), "l_orderkey", "p_name")), "support")
+
+
+@query(f"WITH {_RELATION}, {_COUNTS} SELECT item_i, item_j, n_ij::BIGINT AS n_ij FROM ij WHERE n_ij >= 20")
+def pair_support(spark, folder):
+    return baskets.pair_counts(baskets.basket_relation(_parts(spark, folder), "l_orderkey", "p_name"), 20)
+
+
+def _scored(spark, folder, metric, support=SUPPORT, excluded=None):
+    return baskets.scored_pairs(_parts(spark, folder), "l_orderkey", "p_name", metric, support, excluded)
+
+
+@query(_pairs_sql(f"ln({_LIFT})") + " SELECT item_i, item_j, round(score / (SELECT max(score) FROM s), 6) AS score FROM s")
+def pair_pmi(spark, folder):
+    return rounded(_scored(spark, folder, "pmi"), "score")
+
+
+@query(_pairs_sql(f"ln({_LIFT} * (n_ij - floor(floor(n * {SUPPORT}) / 2)) / n_ij + floor(floor(n * {SUPPORT}) / 2) / n_ij)") + " SELECT item_i, item_j, round(score / (SELECT max(score) FROM s), 6) AS score FROM s")
+def pair_weighted_pmi(spark, folder):
+    return rounded(_scored(spark, folder, "weighted_pmi"), "score")
+
+
+@query(_pairs_sql(_JACCARD) + " SELECT item_i, item_j, round(score / (SELECT max(score) FROM s), 6) AS score FROM s")
+def pair_jaccard(spark, folder):
+    return rounded(_scored(spark, folder, "jaccard"), "score")
+
+
+@query(_pairs_sql(_JACCARD) + " SELECT item_i, item_j, round(sqrt(score / (SELECT max(score) FROM s)), 6) AS score FROM s")
+def pair_root_jaccard(spark, folder):
+    return rounded(_scored(spark, folder, "root_jaccard"), "score")
+
+
+@query(_pairs_sql(f"ln({_LIFT})") + " SELECT item_i, item_j, round(score / max(score) OVER (), 6) AS score FROM s WHERE item_i NOT LIKE 'blue%' AND item_j NOT LIKE 'blue%'")
+def pair_pmi_filtered(spark, folder):
+    blue = table(spark, folder, "part").where(F.col("p_name").startswith("blue")).select("p_name").distinct()
+    return rounded(_scored(spark, folder, "pmi", excluded=blue), "score")
+
+
+@query(
+    f"WITH a AS ({_pairs_sql(f'ln({_LIFT})')} SELECT item_i, item_j, score / max(score) OVER () AS score FROM s),"
+    f" b AS ({_pairs_sql(f'ln({_LIFT})', _CUSTOMERS)} SELECT item_i, item_j, score / max(score) OVER () AS score FROM s)"
+    " SELECT item_i, item_j, round(max(score), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE score > 0 GROUP BY 1, 2"
+)
+def pair_max_merge(spark, folder):
+    orders = _scored(spark, folder, "pmi")
+    customers = baskets.scored_pairs(_bought(spark, folder), "o_custkey", "p_name", "pmi", SUPPORT)
+    return rounded(baskets.merged_by_maximum([orders, customers]), "score")
+
+
+@query(_pairs_sql(_JACCARD) + ", m AS (SELECT floor(round(score, 9) / 0.01)::BIGINT AS bucket FROM s) SELECT bucket, round(bucket * 0.01::DOUBLE, 6) AS low, count(*)::BIGINT AS n FROM m GROUP BY bucket")
+def score_histogram(spark, folder):
+    pairs = baskets.frequent_pairs(baskets.basket_relation(_parts(spark, folder), "l_orderkey", "p_name"), "jaccard", SUPPORT)
+    return rounded(baskets.score_histogram(pairs.withColumn("score", F.round("score", 9)), 0.01), "low")
+
+
+# --- rules and rankings ----------------------------------------------------------------------
+
+
+def _actions(spark, folder) -> DataFrame:
+    """Users as baskets of the keys of their events."""
+    events = table(spark, folder, "events").select("user_id", F.from_json("props", "k int")["k"].cast("string").alias("k"))
+    return baskets.basket_relation(events, "user_id", "k")
+
+
+_ACTIONS = "rel AS (SELECT DISTINCT user_id AS basket, json_extract_string(props, '$.k') AS item FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL AND user_id IS NOT NULL)"
+_RULES = (
+    f"WITH {_ACTIONS}, {_COUNTS}, d AS (SELECT item_i AS antecedent, item_j AS consequent, n_ij, n_i AS n_a, n_j AS n_c, n FROM sup"
+    " UNION ALL SELECT item_j, item_i, n_ij, n_j, n_i, n FROM sup),"
+    " r AS (SELECT antecedent, consequent, n_ij::DOUBLE / n_a AS confidence, n_ij::DOUBLE * n / (n_a::DOUBLE * n_c) AS lift,"
+    " n_ij::DOUBLE / n_a - n_c::DOUBLE / n AS interest, n_a::DOUBLE / n AS antecedent_support, n_c::DOUBLE / n AS consequent_support FROM d)"
+)
+_FIVE = "round(confidence, 6) AS confidence, round(lift, 6) AS lift, round(interest, 6) AS interest, round(antecedent_support, 6) AS antecedent_support, round(consequent_support, 6) AS consequent_support"
+_BETWEEN = (
+    ", o AS (SELECT r.*, row_number() OVER (PARTITION BY least(antecedent, consequent), greatest(antecedent, consequent) ORDER BY antecedent) AS k FROM r"
+    " WHERE antecedent::INT % 3 <> 0 AND consequent::INT % 3 <> 1), f AS (SELECT * FROM o WHERE k = 1 AND interest >= 0.05)"
+)
+
+
+def _rounded_rules(rows):
+    return rounded(rows, "confidence", "lift", "interest", "antecedent_support", "consequent_support")
+
+
+def _between(spark, folder):
+    relation = _actions(spark, folder)
+    items = relation.select("item").distinct()
+    third = F.col("item").cast("int") % 3
+    return rules.rules_between(rules.association_rules(relation), items.where(third != 0), items.where(third != 1), 0.05)
+
+
+@query(_RULES + f" SELECT antecedent, consequent, {_FIVE} FROM r")
+def assoc_rules(spark, folder):
+    return _rounded_rules(rules.association_rules(_actions(spark, folder)))
+
+
+@query(_RULES + _BETWEEN + f" SELECT antecedent, consequent, {_FIVE} FROM f")
+def rules_oriented_by_sector(spark, folder):
+    return _rounded_rules(_between(spark, folder))
+
+
+@query(
+    _RULES + _BETWEEN + ", t AS (SELECT antecedent, consequent, row_number() OVER (PARTITION BY consequent ORDER BY interest DESC, antecedent) AS p FROM f)"
+    " SELECT consequent AS government, coalesce(max(CASE WHEN p = 1 THEN antecedent END), '') AS \"top 1\","
+    " coalesce(max(CASE WHEN p = 2 THEN antecedent END), '') AS \"top 2\", coalesce(max(CASE WHEN p = 3 THEN antecedent END), '') AS \"top 3\" FROM t GROUP BY 1"
+)
+def rules_top_k(spark, folder):
+    return rules.top_per_consequent(_between(spark, folder), 3)
+
+
+_PMI_AND_JACCARD = _pairs_sql(f"round(ln({_LIFT}), 9) AS pmi, round({_JACCARD}, 9)").replace("AS score FROM sup", "AS jaccard FROM sup")
+
+
+def _two_rankings(spark, folder):
+    relation = baskets.basket_relation(_parts(spark, folder), "l_orderkey", "p_name")
+    fixed = lambda m: baskets.frequent_pairs(relation, m, SUPPORT).withColumn("score", F.round("score", 9))
+    return fixed("pmi"), fixed("jaccard")
+
+
+@query(
+    _PMI_AND_JACCARD + ", k AS (SELECT item_i, item_j, row_number() OVER (ORDER BY pmi DESC, item_i, item_j) AS rank_1,"
+    " row_number() OVER (ORDER BY jaccard DESC, item_i, item_j) AS rank_2 FROM s)"
+    " SELECT item_i, item_j, rank_1::BIGINT AS rank_1, rank_2::BIGINT AS rank_2, (rank_1 - rank_2)::BIGINT AS difference FROM k"
+)
+def metric_rank_diff(spark, folder):
+    return rules.rank_differences(*_two_rankings(spark, folder))
+
+
+@query(
+    _PMI_AND_JACCARD + ", k AS (SELECT item_i, item_j, row_number() OVER (ORDER BY pmi DESC, item_i, item_j) AS a,"
+    " row_number() OVER (ORDER BY jaccard DESC, item_i, item_j) AS b FROM s) SELECT item_i, item_j FROM k WHERE a <= 50 AND b > 50"
+)
+def top_k_set_difference(spark, folder):
+    return rules.only_in_first(*_two_rankings(spark, folder), 50)
+
+
+@query(_PMI_AND_JACCARD + " SELECT item_i, item_j, pmi AS score FROM s ORDER BY pmi DESC, item_i, item_j LIMIT 1000")
+def top_pairs(spark, folder):
+    return rules.top_pairs(_two_rankings(spark, folder)[0].select("item_i", "item_j", "score"), 1000)
+
+
+@query()
+def sampled_rules(spark, folder):
+    return rules.sample_of_top(_rounded_rules(rules.association_rules(_actions(spark, folder))), ["antecedent", "consequent"], "interest", 500, 30, 7)
+
+
+# --- candidates and merge sets ---------------------------------------------------------------
+
+
+@query("SELECT DISTINCT a.company AS c1, b.company AS c2 FROM guests a JOIN guests b ON a.full_name = b.full_name AND a.company < b.company")
+def shared_person_pairs(spark, folder):
+    return mergesets.shared_person_pairs(table(spark, folder, "guests"), "full_name", "company")
+
+
+@query(
+    "WITH rel AS (SELECT DISTINCT o_custkey AS p, p_name AS c FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey), n AS (SELECT c, count(*) AS n FROM rel GROUP BY c),"
+    " x AS (SELECT a.c AS c1, b.c AS c2, count(*) AS i FROM rel a JOIN rel b ON a.p = b.p AND a.c < b.c GROUP BY 1, 2)"
+    " SELECT c1, c2, round(i::DOUBLE / (u.n + v.n - i), 6) AS iou, i::BIGINT AS intersection, (u.n + v.n - i)::BIGINT AS \"union\""
+    " FROM x JOIN n u ON u.c = c1 JOIN n v ON v.c = c2"
+)
+def company_overlap(spark, folder):
+    return rounded(mergesets.set_overlap(_bought(spark, folder), "o_custkey", "p_name"), "iou")
+
+
+@query(
+    "WITH c AS (SELECT full_name, count(DISTINCT company) AS k FROM guests WHERE full_name IS NOT NULL GROUP BY 1)"
+    " SELECT guest_id, guests.full_name, k::BIGINT AS count_companies_per_name, coalesce(k, 0) <= 5 AS is_indicative_name FROM guests LEFT JOIN c USING (full_name)"
+)
+def indicative_names(spark, folder):
+    flagged = mergesets.indicative_persons(table(spark, folder, "guests").select("guest_id", "full_name", "company"), "full_name", "company")
+    return flagged.select("guest_id", "full_name", "count_companies_per_name", "is_indicative_name")
+
+
+@query(
+    "WITH c AS (SELECT company, count(DISTINCT meeting_id) AS k FROM guests WHERE company IS NOT NULL GROUP BY 1 HAVING count(DISTINCT meeting_id) >= 5)"
+    " SELECT guest_id, company, k::BIGINT AS count_unique_meeting_ids FROM guests JOIN c USING (company)"
+)
+def rare_filter(spark, folder):
+    kept = mergesets.without_rare(table(spark, folder, "guests"), "company", "meeting_id", 5)
+    return kept.select("guest_id", "company", "count_unique_meeting_ids")
+
+
+@query(
+    "WITH rel AS (SELECT DISTINCT o_custkey AS p, p_name AS c FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey), n AS (SELECT c, count(*) AS n FROM rel GROUP BY c),"
+    " x AS (SELECT a.c AS c1, b.c AS c2, count(*) AS i FROM rel a JOIN rel b ON a.p = b.p AND a.c < b.c GROUP BY 1, 2)"
+    " SELECT c1, c2 FROM x JOIN n u ON u.c = c1 JOIN n v ON v.c = c2 WHERE (i::DOUBLE / (u.n + v.n - i) >= 0.1 AND i >= 2) OR (i::DOUBLE / (u.n + v.n - i) >= 0.05 AND i >= 3)"
+)
+def candidate_conditions(spark, folder):
+    scored = mergesets.set_overlap(_bought(spark, folder), "o_custkey", "p_name")
+    return scored.where(mergesets.CONDITIONS["overlap"]()).select("c1", "c2")
+
+
+def _nation_pairs(spark, folder) -> DataFrame:
+    suppliers = table(spark, folder, "supplier").select("s_nationkey", "s_name")
+    head = suppliers.groupBy("s_nationkey").agg(F.min("s_name").alias("head"))
+    return suppliers.join(head, "s_nationkey").select(F.col("head").alias("term1"), F.col("s_name").alias("term2"))
+
+
+@query("SELECT s_name AS member, min(s_name) OVER (PARTITION BY s_nationkey) AS set_id FROM supplier QUALIFY count(*) OVER (PARTITION BY s_nationkey) > 1")
+def merge_components(spark, folder):
+    return mergesets.merge_sets(_nation_pairs(spark, folder), "term1", "term2")
+
+
+_CANONICAL = (
+    "WITH c AS (SELECT s_name, s_nationkey, count(*) AS n FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1, 2),"
+    " t AS (SELECT s_nationkey, min(s_name) OVER w AS set_id, s_name, n, row_number() OVER (PARTITION BY s_nationkey ORDER BY n DESC, s_name) AS k,"
+    " count(*) OVER (PARTITION BY s_nationkey) AS m, first_value(s_name) OVER (PARTITION BY s_nationkey ORDER BY n DESC, s_name) AS term FROM (SELECT s_name, s_nationkey, coalesce(n, 0) AS n FROM supplier LEFT JOIN c USING (s_name, s_nationkey)) WINDOW w AS (PARTITION BY s_nationkey))"
+)
+
+
+def _supplier_counts(spark, folder):
+    lines = table(spark, folder, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, folder, "supplier").join(lines, F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("s_name").alias("name"), "n")
+
+
+@query(_CANONICAL + " SELECT set_id, term FROM t WHERE k = 1 AND m > 1")
+def canonical_term(spark, folder):
+    sets = mergesets.merge_sets(_nation_pairs(spark, folder), "term1", "term2")
+    return mergesets.commonest_member(sets, _supplier_counts(spark, folder))
+
+
+@query(_CANONICAL + " SELECT term AS name, sum(n)::BIGINT AS n FROM t WHERE n > 0 GROUP BY 1")
+def count_rollup(spark, folder):
+    counts = _supplier_counts(spark, folder)
+    sets = mergesets.merge_sets(_nation_pairs(spark, folder), "term1", "term2")
+    return mergesets.rolled_up_counts(counts, sets, mergesets.commonest_member(sets, counts))
+
+
+@query(
+    "WITH p AS (SELECT least(term1, term2) AS term1, greatest(term1, term2) AS term2, count(*) AS n FROM merge_pairs WHERE origin = 'fuzzy' GROUP BY 1, 2),"
+    " r AS (SELECT least(term1, term2) AS term1, greatest(term1, term2) AS term2, count(*) AS m FROM (SELECT DISTINCT term1, term2 FROM merge_pairs WHERE origin = 'manual') GROUP BY 1, 2)"
+    " SELECT p.term1, p.term2 FROM p LEFT JOIN r ON p.term1 IS NOT DISTINCT FROM r.term1 AND p.term2 IS NOT DISTINCT FROM r.term2, unnest(range(greatest(n - coalesce(m, 0), 0)))"
+)
+def pair_bag_difference(spark, folder):
+    pairs = table(spark, folder, "merge_pairs")
+    return mergesets.pair_bag_difference(pairs.where("origin = 'fuzzy'"), pairs.where("origin = 'manual'"))
+
+
+@query("SELECT term1, term2 FROM merge_pairs WHERE origin = 'fuzzy' UNION ALL SELECT term1, term2 FROM merge_pairs WHERE origin = 'manual'")
+def pair_bag_union(spark, folder):
+    pairs = table(spark, folder, "merge_pairs")
+    return mergesets.pairs_of([pairs.where("origin = 'fuzzy'"), pairs.where("origin = 'manual'")])
+
+
+@query(
+    "WITH m AS (SELECT s_name, s_nationkey FROM supplier), o AS (SELECT DISTINCT s_name AS term, s_nationkey FROM supplier WHERE s_acctbal > 0)"
+    " SELECT term AS organization, term FROM o UNION SELECT m.s_name, o.term FROM o JOIN m USING (s_nationkey) WHERE m.s_name <> o.term"
+)
+def organization_terms(spark, folder):
+    sets = mergesets.merge_sets(_nation_pairs(spark, folder), "term1", "term2")
+    observed = table(spark, folder, "supplier").where("s_acctbal > 0").select("s_name")
+    return mergesets.organization_terms(sets, observed)
+
+
+@query(
+    f"WITH {_RELATION}, {_COUNTS}, ok AS (SELECT DISTINCT p_name FROM part WHERE p_name LIKE '%gear' OR p_name LIKE '%bolt')"
+    " SELECT item_i, item_j, n_ij::BIGINT AS n_ij FROM ij WHERE item_i IN (FROM ok) AND item_j IN (FROM ok)"
+)
+def pairs_of_allowed(spark, folder):
+    pairs = baskets.pair_counts(baskets.basket_relation(_parts(spark, folder), "l_orderkey", "p_name"))
+    allowed = table(spark, folder, "part").where(F.col("p_name").rlike("(gear|bolt)$")).select("p_name")
+    return mergesets.with_all_members(pairs, allowed)
+
+
+@query("SELECT DISTINCT a.c_name AS term1, b.c_name AS term2 FROM customer a JOIN customer b ON a.c_acctbal = b.c_acctbal AND a.c_name < b.c_name")
+def same_value_pairs(spark, folder):
+    return mergesets.same_value_pairs(table(spark, folder, "customer"), "c_name", "c_acctbal")
+
+
+# --- strings, dates, packed triples ----------------------------------------------------------
+
+
+@query("SELECT doc_id, regexp_replace(text, '^((The|A|Mr|Mrs|Prof)[^ \\n]* +)+', '') AS rest FROM documents WHERE lang = 'en' AND text ~ '^[\\x20-\\x7e]+$' AND NOT regexp_matches(regexp_replace(text, '^((The|A|Mr|Mrs|Prof)[^ \\n]* +)+', ''), '^(The|A|Mr|Mrs|Prof)[^ ]*$')")
+def clean_prefix_words(spark, folder):
+    plain = table(spark, folder, "documents").where("lang = 'en'").where(F.col("text").rlike(r"^[\x20-\x7e]+\z"))
+    rest = text.without_leading_terms(F.col("text"), ["The", "A", "Mr", "Mrs", "Prof"])
+    return plain.select("doc_id", rest.alias("rest")).where("rest <> ''")
+
+
+@query("SELECT p_partkey, split_part(p_name, ' ', -1) AS last_word, split_part(p_name, ' ', 1) AS first_word, upper(p_name) AS upper_name, reverse(p_name) AS reversed FROM part")
+def split_tokens(spark, folder):
+    part = table(spark, folder, "part")
+    first = F.substring_index("p_name", " ", 1)
+    return part.select("p_partkey", text.last_segment(F.col("p_name"), " ").alias("last_word"), first.alias("first_word"), F.upper("p_name").alias("upper_name"), F.reverse("p_name").alias("reversed"))
+
+
+@query("SELECT guest_id, split_part(reference_link, '/', -1) AS last_segment, right(meeting_date, 4) AS year FROM guests")
+def url_last_segment(spark, folder):
+    guests = table(spark, folder, "guests")
+    return guests.select("guest_id", text.last_segment(F.col("reference_link"), "/").alias("last_segment"), text.year_of(F.col("meeting_date")).alias("year"))
+
+
+@query("SELECT doc_id, ((length(text) - length(replace(text, 'the ', ''))) / 4)::BIGINT AS the_count, ((length(text) - length(replace(text, 'של', ''))) / 2)::BIGINT AS shel_count FROM documents WHERE text IS NOT NULL")
+def substring_counts(spark, folder):
+    documents = table(spark, folder, "documents").where("text is not null")
+    return documents.select(
+        "doc_id", text.substring_count(F.col("text"), F.lit("the ")).alias("the_count"), text.substring_count(F.col("text"), F.lit("של")).alias("shel_count")
+    )
+
+
+@query("SELECT doc_id, regexp_matches(text, '[\\x{0590}-\\x{05FF}]') AS hebrew FROM documents WHERE text IS NOT NULL")
+def script_test(spark, folder):
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", text.has_hebrew(F.col("text")).alias("hebrew"))
+
+
+@query("WITH d AS (SELECT max(o_orderdate)::DATE AS hi, min(o_orderdate)::DATE AS lo FROM orders) SELECT strftime(x, '%Y%m%d') AS day FROM d, unnest(generate_series(hi, lo, INTERVAL '-7' DAY)) AS t(x)")
+def date_sequence(spark, folder):
+    ends = table(spark, folder, "orders").agg(F.max("o_orderdate").cast("date").cast("string"), F.min("o_orderdate").cast("date").cast("string")).collect()[0]
+    return text.days_down(spark, ends[0], ends[1], 7)
+
+
+@query(
+    "WITH j AS (SELECT o_custkey, string_agg('(' || o_orderpriority || '##' || o_orderkey::VARCHAR || '##' || o_orderstatus || ')', ',' ORDER BY o_orderkey) AS s FROM orders GROUP BY 1),"
+    " e AS (SELECT o_custkey, unnest(string_split(s, ',')) AS x FROM j)"
+    " SELECT o_custkey, split_part(trim(x, '()'), '##', 1) AS role, split_part(trim(x, '()'), '##', 2) AS company, split_part(trim(x, '()'), '##', 3) AS duration FROM e"
+)
+def explode_prior_jobs(spark, folder):
+    orders = table(spark, folder, "orders")
+    entry = F.format_string("(%s##%s##%s)", "o_orderpriority", F.col("o_orderkey").cast("string"), "o_orderstatus")
+    lists = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("e")))).alias("l"))
+    filed = lists.select("o_custkey", F.array_join(F.col("l.e"), ",").alias("jobs"))
+    jobs = text.exploded(filed.select("o_custkey", text.triples(F.col("jobs")).alias("t")), "t", "job")
+    return jobs.select("o_custkey", "job.role", "job.company", "job.duration")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '[a-z] [a-z]') AND p_name IS NOT NULL")
+def two_word_filter(spark, folder):
+    return table(spark, folder, "part").where(F.col("p_name").rlike(r"(?U)\w\s\w")).select("p_partkey", "p_name")
+
+
+@query("SELECT guest_id FROM guests WHERE job_title IS NOT NULL AND (contains(job_title, ' - ') OR contains(job_title, ' – ') OR len(string_split(job_title, ',')) > 2) AND trim(job_title) <> '' AND NOT contains(job_title, ':')")
+def guest_row_pattern(spark, folder):
+    return table(spark, folder, "guests").where(text.is_guest_row(F.col("job_title"))).select("guest_id")
+
+
+@query()
+def guest_rows(spark, folder):
+    lines = table(spark, folder, "guests").select("guest_id", F.concat_ws(" - ", "full_name", "job_title", "company").alias("line"))
+    nick = table(spark, folder, "nicknames").select("formal").distinct().orderBy("formal").limit(100).collect()  # a short fixed list
+    return text.guest_rows(lines, "line", [r[0] for r in nick], [], ["Dr.", "Prof."], ["משרד"], ["לוביסט"])
+
+
+@query("SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE kind = 'protocol') WHERE line LIKE '% - %' AND NOT contains(line, ':') AND trim(line) <> ''")
+def protocol_rows(spark, folder):
+    protocols = table(spark, folder, "documents").where("kind = 'protocol'")
+    lines = protocols.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.where(F.col("line").contains(" - ") & text.is_guest_row(F.col("line"))).select("doc_id", "line")
+
+
+# --- sources reconciled ----------------------------------------------------------------------
+
+
+@query(
+    "SELECT c_custkey, coalesce(a.p, b.p) AS o_orderpriority, a.p IS NOT NULL AS exists_online FROM customer"
+    " LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS p FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a ON a.o_custkey = c_custkey"
+    " LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS p FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON b.o_custkey = c_custkey"
+)
+def left_join_coalesce(spark, folder):
+    orders = table(spark, folder, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    customers = table(spark, folder, "customer").select("c_custkey")
+    return reconcile.with_fallback(customers, "c_custkey", orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'O'"), ["o_orderpriority"])
+
+
+@query(
+    "WITH a AS (SELECT DISTINCT c_custkey AS v FROM customer), b AS (SELECT DISTINCT o_custkey AS v FROM orders WHERE o_orderstatus = 'P')"
+    " SELECT (SELECT count(*) FROM a FULL JOIN b USING (v) WHERE a.v IS NULL OR b.v IS NULL) = 0 AS equal, (SELECT count(*) FROM a)::BIGINT AS n_a, (SELECT count(*) FROM b)::BIGINT AS n_b,"
+    " (SELECT count(*) FROM a WHERE v NOT IN (FROM b))::BIGINT AS only_a, (SELECT count(*) FROM b WHERE v NOT IN (FROM a))::BIGINT AS only_b,"
+    " (SELECT count(*) FROM (FROM a UNION FROM b))::BIGINT AS n_union,"
+    " ((SELECT count(*) FROM a WHERE v NOT IN (FROM b)) + (SELECT count(*) FROM b WHERE v NOT IN (FROM a)))::BIGINT AS n_symmetric"
+)
+def id_reconciliation(spark, folder):
+    a = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"))
+    b = table(spark, folder, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id"))
+    return reconcile.set_comparison(a, b, "id")
+
+
+@query(
+    "WITH t AS (SELECT organization AS term, count(*) AS positive_count FROM article_baskets WHERE regexp_matches(organization, '^[A-Za-z]+$') GROUP BY 1),"
+    " c AS (SELECT term, sum((length(s_name) - length(replace(s_name, term, ''))) / length(term)) AS k FROM t, (SELECT organization AS s_name FROM article_baskets WHERE organization IS NOT NULL) WHERE"
+    " list_contains(regexp_split_to_array(s_name, '[^A-Za-z]+'), term) AND regexp_matches(s_name, '^[ -~]+$') GROUP BY 1)"
+    " SELECT term, positive_count::BIGINT AS positive_count, coalesce(k, 0)::BIGINT AS total_count, round(positive_count::DOUBLE / nullif(coalesce(k, 0), 0), 6) AS discovery_ratio FROM t LEFT JOIN c USING (term)"
+)
+def discovery_ratio(spark, folder):
+    mentions = table(spark, folder, "article_baskets").where("organization is not null")
+    terms = mentions.where(F.col("organization").rlike(r"^[A-Za-z]+\z")).groupBy(F.col("organization").alias("term")).agg(F.count(F.lit(1)).alias("positive_count"))
+    plain = mentions.where(F.col("organization").rlike(r"^[ -~]+\z"))
+    return rounded(reconcile.discovery_ratio(plain, "organization", terms), "discovery_ratio")
+
+
+@query(
+    "SELECT DISTINCT o.organization, c.article FROM (SELECT DISTINCT name AS organization, ' ' || lower(name) || ' ' AS p FROM entity_database WHERE regexp_matches(name, '^[A-Za-z .]+$')) o"
+    " JOIN (SELECT doc_id AS article, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS body FROM documents WHERE regexp_matches(text, '^[\\x01-\\x7e]+$')) c"
+    " ON contains(c.body, ' ' || trim(regexp_replace(o.p, '[^a-z0-9]+', ' ', 'g')) || ' ')"
+)
+def gazetteer_mentions(spark, folder):
+    names = table(spark, folder, "entity_database").where(F.col("name").rlike(r"^[A-Za-z .]+\z")).select("name")
+    plain = table(spark, folder, "documents").where(F.col("text").rlike(r"^[\x01-\x7e]+\z"))
+    return reconcile.gazetteer_mentions(plain, "doc_id", "text", names)
+
+
+@query("SELECT type AS category, count(*)::BIGINT AS n FROM entity_database GROUP BY 1")
+def category_counts(spark, folder):
+    return reconcile.category_counts(table(spark, folder, "entity_database").select(F.array("type").alias("t")), "t")
+
+
+@query("SELECT sub_type, 'matches' AS dataset, count(*)::BIGINT AS n FROM org_entity_matches WHERE sub_type IS NOT NULL AND sub_type <> 'other' GROUP BY 1")
+def types_histogram(spark, folder):
+    return entities.types_histogram(table(spark, folder, "org_entity_matches"), "matches")
+
+
+# --- the register of entities ----------------------------------------------------------------
+
+
+@query(
+    "WITH u AS (SELECT c_nationkey::BIGINT AS id, c_name AS name, 0 AS r FROM customer UNION ALL SELECT s_nationkey, s_name, 1 FROM supplier UNION ALL SELECT p_partkey, p_name, 2 FROM part)"
+    " SELECT id, name FROM (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY r, name) AS k FROM u) WHERE k = 1"
+)
+def first_wins_dedup(spark, folder):
+    sources = [("customer", "c_nationkey", "c_name"), ("supplier", "s_nationkey", "s_name"), ("part", "p_partkey", "p_name")]
+    whole = None
+    for rank, (name, key, label) in enumerate(sources):
+        rows = table(spark, folder, name).select(F.col(key).cast("long").alias("id"), F.col(label).alias("name"), F.lit(rank).alias("r"))
+        whole = rows if whole is None else whole.unionByName(rows)
+    return entities.first_by_key(whole, "id", ["r", "name"]).select("id", "name")
+
+
+@query("SELECT id, type, name, coalesce(name_eng, '') AS name_eng FROM entity_database")
+def entity_register(spark, folder):
+    listed = table(spark, folder, "entity_database")
+    one = listed.withColumnRenamed("type", "kind").withColumnRenamed("name_eng", "name_en")
+    two = listed.select(F.col("id").alias("Association_Number"), F.col("name").alias("Association_Name"))
+    return entities.entity_database([entities.registry(one, 0), entities.registry(two, 1, "association")])
+
+
+@query(
+    "SELECT n_nationkey, r_name AS parent, n_name AS child FROM nation JOIN region ON r_regionkey = n_regionkey"
+)
+def hierarchy_split(spark, folder):
+    nation = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = nation.select("n_nationkey", F.concat_ws("/", "r_name", "n_name").alias("name"))
+    return text.hierarchy(joined, "name").select("n_nationkey", "parent", "child")
+
+
+@query("SELECT n_nationkey, min(n_name) OVER (PARTITION BY n_regionkey) AS spelling FROM nation")
+def first_spelling(spark, folder):
+    nation = table(spark, folder, "nation").select("n_nationkey", F.col("n_regionkey").alias("key"), F.col("n_name").alias("spelling"))
+    return entities.first_spelling(nation, "key", "spelling", "spelling").select("n_nationkey", "spelling")
+
+
+@query(
+    "SELECT DISTINCT m.org_name, e.id FROM (SELECT DISTINCT org_name FROM org_entity_matches WHERE regexp_matches(org_name, '^[A-Za-z ]+$') AND trim(org_name) <> '') m JOIN"
+    " (SELECT id, lower(name) AS n, lower(name_eng) AS g FROM entity_database) e ON"
+    " contains(' ' || trim(regexp_replace(e.n, '[^a-z]+', ' ', 'g')) || ' ', ' ' || trim(regexp_replace(lower(m.org_name), ' +', ' ', 'g')) || ' ') OR"
+    " contains(' ' || trim(regexp_replace(e.g, '[^a-z]+', ' ', 'g')) || ' ', ' ' || trim(regexp_replace(lower(m.org_name), ' +', ' ', 'g')) || ' ')"
+)
+def containing_entities(spark, folder):
+    typed = table(spark, folder, "org_entity_matches").where(F.col("org_name").rlike(r"^[A-Za-z ]+\z"))
+    return entities.containing_entities(typed, table(spark, folder, "entity_database")).select("org_name", "id").distinct()
+
+
+#: Types of the register's sub-types.
+TYPES = {
+    "municipality": "government", "local_council": "government", "ministry": "government", "statutory_authority": "government",
+    "municipal": "government", "government": "government", "private_company": "company", "public_company": "company",
+    "foreign_company": "company", "nonprofit_association": "company", "water_corporation": "company", "higher_education": "company",
+}
+
+
+@query()
+def entity_link(spark, folder):
+    typed = table(spark, folder, "org_entity_matches")
+    return entities.link_entities(typed, table(spark, folder, "entity_database"), text.mapped_type(F.col("sub_type"), TYPES))
+
+
+@query(
+    "SELECT id, CASE WHEN type IN ('municipality','local_council','ministry','statutory_authority','municipal','government') THEN 'government'"
+    " WHEN type IN ('private_company','public_company','foreign_company','nonprofit_association','water_corporation','higher_education') THEN 'company' ELSE 'other' END AS mapped FROM entity_database"
+)
+def mapped_types(spark, folder):
+    return table(spark, folder, "entity_database").select("id", text.mapped_type(F.col("type"), TYPES).alias("mapped"))
+
+
+# --- similarity and careers ------------------------------------------------------------------
+
+
+def _part_pairs(spark, folder) -> DataFrame:
+    names = table(spark, folder, "part").select(F.col("p_name").alias("a")).distinct()
+    characters = names.withColumn("ca", similarity.numbered_characters(F.col("a")))
+    first = characters.withColumn("w", F.explode(F.split("a", " ")))
+    second = first.toDF("b", "cb", "w")
+    return first.join(second, "w").where("a < b").select("a", "b", "ca", "cb").distinct()
+
+
+@query()
+def fuzzy_ratio(spark, folder):
+    pairs = _part_pairs(spark, folder).where(similarity.may_reach(F.col("ca"), F.col("cb"), 60))
+    return pairs.select("a", "b", similarity.ratio(F.col("a"), F.col("b")).alias("fratio")).where("fratio >= 60")
+
+
+@query()
+def fuzzy_token_sort(spark, folder):
+    pairs = _part_pairs(spark, folder)
+    return pairs.select("a", "b", similarity.token_sort(F.col("a"), F.col("b")).alias("score"))
+
+
+@query()
+def fuzzy_four_scores(spark, folder):
+    pairs = _part_pairs(spark, folder)
+    return pairs.select("a", "b", similarity.four_scores(F.col("a"), F.col("b")).alias("s")).select("a", "b", "s.*")
+
+
+def _career_jobs(spark, folder) -> DataFrame:
+    return p2_found(spark, folder).where("prior_company <> ''")
+
+
+@query()
+def nearest_name(spark, folder):
+    names = table(spark, folder, "entity_database").where("name is not null").select(F.col("name").alias("organization"), F.col("name").alias("term"))
+    return appointments.nearest_names(_career_jobs(spark, folder), names, 85)
+
+
+@query()
+def revolving_doors(spark, folder):
+    register = table(spark, folder, "entity_database")
+    matches = nearest_name(spark, folder)
+    kinds = register.select(F.col("name").alias("org_name"), text.mapped_type(F.col("type"), TYPES).alias("type"))
+    return appointments.revolving_doors(_career_jobs(spark, folder), matches, kinds)
+
+
+@query(
+    "SELECT a.id, a.best_term_match, c_name AS org_name, round(c_acctbal, 6) AS interest FROM"
+    " (SELECT DISTINCT o_custkey AS id, o_orderpriority AS best_term_match FROM orders) a JOIN customer ON c_custkey = a.id WHERE a.best_term_match = '1-URGENT'"
+)
+def occupational_shifts(spark, folder):
+    doors = table(spark, folder, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("best_term_match")).distinct()
+    customers = table(spark, folder, "customer")
+    rule = customers.select(F.col("c_name").alias("antecedent"), F.lit("1-URGENT").alias("consequent"), F.col("c_acctbal").alias("interest"))
+    ids = customers.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("org_name"))
+    return rounded(appointments.shifts_with_interests(doors, [rule], ids).select("id", "best_term_match", "org_name", "interest"), "interest")
+
+
+# --- graphs ----------------------------------------------------------------------------------
+
+
+def _sectors(spark, folder) -> DataFrame:
+    last = text.last_segment(F.col("p_name"), " ")
+    sector = F.when(last.isin("gear", "bolt"), "government").when(last.isin("ring", "rod", "plate"), "company").otherwise("other")
+    return table(spark, folder, "part").select(F.col("p_name").alias("item"), sector.alias("sector")).distinct()
+
+
+def _positive(spark, folder) -> DataFrame:
+    return _scored(spark, folder, "pmi").where("score > 0")
+
+
+@query()
+def edge_betweenness(spark, folder):
+    return graph.bottlenecks(table(spark, folder, "merge_pairs"), "term1", "term2")
+
+
+@query()
+def spectral_clusters(spark, folder):
+    return graph.spectral_clusters(_positive(spark, folder), 8)
+
+
+@query()
+def co_clusters(spark, folder):
+    return graph.co_clusters(_positive(spark, folder), _sectors(spark, folder), 4)
+
+
+@query()
+def kmeans_labels(spark, folder):
+    return rounded(graph.k_means(table(spark, folder, "embeddings"), "vec_id", "embedding", 10), "distance")
+
+
+@query()
+def graph_nodes(spark, folder):
+    relation = baskets.basket_relation(_parts(spark, folder), "l_orderkey", "p_name")
+    pairs = _positive(spark, folder)
+    return rounded(graph.node_table(relation, pairs, _sectors(spark, folder), graph.spectral_clusters(pairs, 8)), "log_count")
+
+
+_SECTOR = "CASE WHEN split_part(p_name, ' ', -1) IN ('gear', 'bolt') THEN 'government' WHEN split_part(p_name, ' ', -1) IN ('ring', 'rod', 'plate') THEN 'company' ELSE 'other' END"
+
+
+@query(
+    _pairs_sql(f"ln({_LIFT})") + f", c AS (SELECT DISTINCT p_name AS item, {_SECTOR} AS sector FROM part)"
+    " SELECT item_i, item_j, round(score / (SELECT max(score) FROM s), 6) AS weight, CASE WHEN (x.sector = 'government' AND y.sector = 'company') OR (x.sector = 'company' AND y.sector = 'government') THEN 1.0 ELSE 0.4 END::DOUBLE AS types"
+    " FROM s JOIN c x ON x.item = item_i JOIN c y ON y.item = item_j WHERE score > 0"
+)
+def graph_edges(spark, folder):
+    return rounded(graph.edge_table(_positive(spark, folder), _sectors(spark, folder)), "weight")
+
+
+@query(
+    _pairs_sql(f"ln({_LIFT})") + f", c AS (SELECT DISTINCT p_name AS item, {_SECTOR} AS sector FROM part)"
+    " SELECT item_i, item_j, x.sector AS cluster FROM s JOIN c x ON x.item = item_i JOIN c y ON y.item = item_j WHERE score > 0 AND x.sector = y.sector"
+)
+def cluster_subgraph(spark, folder):
+    return graph.within_clusters(_positive(spark, folder), _sectors(spark, folder)).select("item_i", "item_j", "cluster")
+
+
+# --- pages -----------------------------------------------------------------------------------
+
+
+def _pages(spark, folder) -> DataFrame:
+    """Guests' references as pages."""
+    page = F.concat(F.lit("<html><head><title>x</title></head><body><!-- c --><p>"), F.col("job_title"), F.lit('</p><script>y</script><a href="'), F.col("reference_link"), F.lit('">z</a></body></html>'))
+    plain = table(spark, folder, "guests").where(F.col("job_title").rlike(r"^[A-Za-z][A-Za-z ]*[A-Za-z]\z") & F.col("reference_link").isNotNull())
+    return plain.select("guest_id", page.alias("html"))
+
+
+@query("SELECT guest_id, job_title || ' z' AS shown FROM guests WHERE regexp_matches(job_title, '^[A-Za-z][A-Za-z ]*[A-Za-z]$') AND reference_link IS NOT NULL")
+def html_visible_text(spark, folder):
+    return _pages(spark, folder).select("guest_id", html.visible_text(F.col("html")).alias("shown"))
+
+
+@query("SELECT guest_id, reference_link AS link FROM guests WHERE regexp_matches(job_title, '^[A-Za-z][A-Za-z ]*[A-Za-z]$') AND reference_link IS NOT NULL AND contains(reference_link, 'http')")
+def html_links(spark, folder):
+    return _pages(spark, folder).select("guest_id", F.explode(html.matching_links(F.col("html"), "http")).alias("link"))
