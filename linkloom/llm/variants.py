@@ -70,7 +70,8 @@ def _routed(probes: DataFrame, pivots: DataFrame) -> DataFrame:
     """(space, key, pivot, d) of keys and pivots within COVER + RADIUS edits."""
     reach = COVER + RADIUS
     of_pivots = _signed(pivots, False).withColumnRenamed("key", "pivot")
-    met = probes.join(of_pivots, ["space", "signature"]).select("space", "key", "pivot").distinct()
+    # signatures are many more than the keys by whose size the planner would broadcast them
+    met = probes.hint("merge").join(of_pivots, ["space", "signature"]).select("space", "key", "pivot").distinct()
     return met.withColumn("d", F.levenshtein("key", "pivot")).where(F.col("d") <= reach)
 
 
