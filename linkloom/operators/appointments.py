@@ -35,7 +35,7 @@ def nearest_names(wanted: DataFrame, known: DataFrame, least_score: int = 85) ->
         distinct = rows.select(name).where(F.col(name).isNotNull()).distinct()
         bucket = F.transform(F.split(name, ""), lambda ch: F.pmod(F.crc32(ch.cast("binary")), F.lit(BUCKETS)))
         distinct = computed_once(distinct.select(name, F.length(name).alias(f"{mark}n")), "_b", bucket)
-        counts = [F.size(F.filter("_b", lambda x, k=k: x == k)).alias(f"{mark}{k}") for k in range(BUCKETS)]
+        counts = [F.size(F.filter("_b", F.lit(k).__eq__)).alias(f"{mark}{k}") for k in range(BUCKETS)]
         return distinct.select(name, f"{mark}n", *counts)
 
     left, right = described(wanted, "prior_company", "x"), described(known, "organization", "y")
