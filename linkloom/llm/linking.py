@@ -143,7 +143,7 @@ def linked(
     entities maps everything to -1; other columns are ignored.
     """
     hint = F.col(hint_column) if hint_column else F.lit(None).cast("string")
-    blank = lambda c: F.length(F.regexp_replace(c, r"[\\s\\p{Z}]+", "")) == 0
+    blank = lambda c: F.length(F.regexp_replace(c, r"[\s\p{Z}]+", "")) == 0
     asked = rows.select(F.col(id_column).alias("id"), F.col(typed_column).alias("name"), hint.alias("hint"))
     asked = written(asked.where(F.col("name").isNotNull() & ~blank(F.col("name"))))
     typed = asked.select(F.explode(F.array("name", "hint")).alias("name")).where(F.col("name").isNotNull() & ~blank(F.col("name")))

@@ -68,7 +68,7 @@ def non_negative_least_squares(a: np.ndarray, b: np.ndarray, tolerance: float =
     return x
 
 
-def fitted(histogram: dict[int, int], found: list[tuple[int, ...]], classes: int = CLASSES) -> list[tuple[tuple[int, ...], int]]:
+def fitted(histogram: dict[int, int], found: list[tuple[int, ...]], classes: int = CLASSES, power: float = 1.0) -> list[tuple[tuple[int, ...], int]]:
     """(pattern, repeats) that use no class more often than the histogram has it."""
     b = np.zeros(classes + 1)
     for size_class, count in histogram.items():
@@ -80,7 +80,8 @@ def fitted(histogram: dict[int, int], found: list[tuple[int, ...]], classes: int
     for k, pattern in enumerate(usable):
         for c in pattern:
             a[c, k] += 1
-    x = np.floor(non_negative_least_squares(a, b) + 0.5).astype(np.int64)
+    weight = np.arange(classes + 1) ** power  # long items are harder to place later
+    x = np.floor(non_negative_least_squares(weight[:, None] * a, weight * b) + 0.5).astype(np.int64)
     left = b - a @ x
     order = np.argsort(-x, kind="stable")
     for k in order:  # rounding and the fit may use too many of a class

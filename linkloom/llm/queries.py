@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import components, copies, linking, packing, sentences, together, tokens, variants
+from linkloom.llm import components, copies, linking, oracles, packing, sentences, together, tokens, variants
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -95,4 +95,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
