@@ -20,7 +20,9 @@ MASK = "".join(chr(0xE200 + k) for k in range(len(ENDS)))
 CUT = "\ue300"
 DOT = MASK[0]
 OPEN, CLOSE = "\ue301", "\ue302"
-_RESERVED = MASK + CUT + OPEN + CLOSE
+#: What stands for line ends within a quotation or brackets.
+BREAKS, BREAK_MASK = "\n\r", "\ue303\ue304"
+_RESERVED = MASK + CUT + OPEN + CLOSE + BREAK_MASK
 
 #: Abbreviations after which a sentence goes on.
 ABBREVIATIONS = (
@@ -48,6 +50,7 @@ SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \u0085\u00a0\u1680\u2028\u2029\u202f\u205
 _T = "[.!?؟।。！？]"
 _CLOSERS = "[)\\]}\"'”’»›」』）]"
 _WORD = "[\\p{L}\\p{M}\\p{N}]"
+_BULLET = "[*•‣▪·◦–-]"
 
 # the expressions begin with a test of one character, so that most positions are passed quickly
 _QUOTED = "(?=[\"“„«「『(（])(?:" + "|".join(
@@ -67,7 +70,11 @@ _QUOTED = "(?=[\"“„«「『(（])(?:" + "|".join(
 def _masked_regions(text: Column) -> Column:
     marked = F.regexp_replace(text, _QUOTED, f"{OPEN}$0{CLOSE}")
     parts = F.split(marked, f"[{OPEN}{CLOSE}]")
-    plain = F.transform(parts, lambda p, k: F.when(k % 2 == 1, F.translate(p, ENDS, MASK)).otherwise(p))
+    # a blank line or an item of a list ends a unit even there
+    inner = lambda p: F.when(p.rlike(f"[\\r\\n]\\s*(?:[\\r\\n]|{_BULLET}\\s)"), F.translate(p, ENDS, MASK)).otherwise(
+        F.translate(p, ENDS + BREAKS, MASK + BREAK_MASK)
+    )
+    plain = F.transform(parts, lambda p, k: F.when(k % 2 == 1, inner(p)).otherwise(p))
     return F.when(marked.contains(OPEN), F.array_join(plain, "")).otherwise(text)
 
 
@@ -110,16 +117,36 @@ _THAI = (
     f"(?<!(?:{THAI_LEADS}) {{1,4}})(?!{THAI_GOES_ON})"
 )
 
-#: A text whose longest line is no longer than this, and that has neither labels nor lists, has broken lines.
+#: A line longer than this is no line of a broken paragraph, but a paragraph.
 BROKEN_LINE = 130
 _BLOCK = 256
 
+_NL = "(?>\\r\\n|[\\r\\n])"
+_IN_LINE = f"[^\\r\\n{BREAK_MASK}]"
+_GOES_ON = "\\s*\\p{Ll}(?!\\p{Lu})"
+#: A further line follows, not after a blank one.
+_MORE = f"{_NL}(?!\\s*[\\r\\n])(?=\\s*\\S)"
+_BLANK = "(?:\\r\\n|\\n|\\r)[^\\S\\n\\r]*(?:\\r\\n|\\n|\\r)\\s*"
+#: Line ends that cut by themselves: at blank lines, after a long line, and before a line that is itself a
+#: paragraph, as it is long or ends a sentence and is not the last.
+_EACH = f"({_BLANK}|{_NL}(?!{_GOES_ON})(?:" + "|".join(
+    [
+        f"(?<={_IN_LINE}{{{BROKEN_LINE + 1}}}(?:\\r\\n|[\\r\\n]))",
+        f"(?={_IN_LINE}{{{BROKEN_LINE + 1}}}{_IN_LINE}*[\\r\\n]\\s*\\S)",
+        f"(?={_IN_LINE}*[.!?؟।。！？…{DOT}]{_CLOSERS}*[^\\S\\r\\n]*{_MORE})",
+    ]
+) + f")(?!{_IN_LINE}*{_NL}{_GOES_ON}))"
+
 
-def _line_ends(masked: Column, broken: Column) -> Column:
-    """Cuts at line ends: at all of them, or in a text of broken lines at blank lines only."""
-    blank = F.regexp_replace(masked, "((?:\\r\\n|\\n|\\r)[^\\S\\n\\r]*(?:\\r\\n|\\n|\\r)\\s*)", f"$1{CUT}")
-    every = F.regexp_replace(masked, "((?:\\r\\n|\\n|\\r)+)(?!\\s*\\p{Ll}(?!\\p{Lu}))", f"$1{CUT}")
-    return F.when(broken, blank).otherwise(every)
+def _line_ends(masked: Column) -> Column:
+    """Cuts at line ends: at all of them among labels, lists or paragraphs set off by blank lines, else at each by itself."""
+    lines = F.split(masked, f"[\\r\\n{BREAK_MASK}]+")
+    longest = F.array_max(F.transform(lines, lambda s: F.length(s)))
+    structured = masked.rlike(f"(?m)^\\s*{_BULLET}\\s|[:：]\\s*$")
+    paragraphs = masked.rlike(f"\\S\\s*?{_BLANK}\\S") & (longest > BROKEN_LINE)
+    each = F.regexp_replace(masked, _EACH, f"$1{CUT}")
+    every = F.regexp_replace(masked, f"((?:\\r\\n|\\n|\\r)+)(?!{_GOES_ON})", f"$1{CUT}")
+    return F.when(structured | paragraphs, every).otherwise(each)
 
 
 def sentence_units(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -139,10 +166,7 @@ def sentence_units(documents: DataFrame, id_column: str, text_column: str) -> Da
     clean = F.when(reserved, F.translate("_text", _RESERVED, "x" * len(_RESERVED))).otherwise(F.col("_text"))
     rows = computed_once(rows, "_plain", _masked_regions(clean))
     rows = computed_once(rows, "_masked", F.regexp_replace("_plain", _DOTS, DOT)).drop("_plain")
-    lines = F.split("_masked", "[\\r\\n]+")
-    longest = F.array_max(F.transform(lines, lambda s: F.length(s)))
-    structured = F.col("_masked").rlike("(?m)^\\s*[*•‣▪·◦–-]\\s|[:：]\\s*$")
-    rows = computed_once(rows, "_lined", _line_ends(F.col("_masked"), (longest <= BROKEN_LINE) & ~structured))
+    rows = computed_once(rows, "_lined", _line_ends(F.col("_masked")))
     rows = computed_once(rows.drop("_masked"), "_cut", F.regexp_replace("_lined", _CUTS, f"$0{CUT}")).drop("_lined")
     thai = F.when(F.col("_cut").rlike("[\\u0e00-\\u0e7f]"), F.regexp_replace("_cut", _THAI, f"$0{CUT}"))
     rows = computed_once(rows, "_pieces", F.split(F.coalesce(thai, "_cut"), CUT)).drop("_cut")
