@@ -101,10 +101,12 @@ def radius_links(keys: DataFrame) -> DataFrame:
     return both.select("space", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "d").distinct()
 
 
-def _key_groups(profiles: DataFrame, alike: Column) -> DataFrame:
+def _key_groups(profiles: DataFrame, alike: Column, readings: DataFrame | None = None) -> DataFrame:
     """(space, key, comp) of keys; profiles: space, key, rows, marks (strong marks: strong).
 
-    alike: condition on a pair of keys (columns d, marks, strong, o_marks, o_strong) that links them.
+    alike: condition on a pair of keys (columns space, a, b, d, marks, strong, o_marks, o_strong) that links them.
+    readings: key and consonants (and whether it is wide) of keys of space 'r' that have a second reading in
+    space 's'; the two are one if wide, or if that reading is a key marked HEBREW or links to one.
     """
     by_key = written(
         profiles.groupBy("space", "key").agg(
@@ -119,6 +121,15 @@ def _key_groups(profiles: DataFrame, alike: Column) -> DataFrame:
     agreed = pairs.join(one, ["space", "a"]).join(other, ["space", "b"]).where(alike)
     tagged = lambda c: F.concat_ws("\u0001", "space", c)
     edges = agreed.select(tagged("a").alias("a"), tagged("b").alias("b"))
+    if readings is not None:
+        marked, o_marked = F.array_contains("strong", HEBREW), F.array_contains("o_strong", HEBREW)
+        to_hebrew = by_key.where((F.col("space") == "s") & marked).select(F.col("key").alias("consonants"))
+        for near, far in ((o_marked, "a"), (marked, "b")):
+            to_hebrew = to_hebrew.unionByName(agreed.where((F.col("space") == "s") & near).select(F.col(far).alias("consonants")))
+        met = readings.where("not wide").join(to_hebrew.distinct(), "consonants", "left_semi").select("key", "consonants")
+        bridges = readings.where("wide").select("key", "consonants").unionByName(met)
+        of = lambda space, c: F.concat_ws("\u0001", F.lit(space), c)
+        edges = edges.unionByName(bridges.select(of("r", "key").alias("a"), of("s", "consonants").alias("b")))
     alone = by_key.select(tagged("key").alias("a"), tagged("key").alias("b"))
     groups = components(edges.unionByName(alone), "a", "b")
     space = F.substring_index("term", "\u0001", 1)
@@ -127,11 +138,16 @@ def _key_groups(profiles: DataFrame, alike: Column) -> DataFrame:
     )
 
 
+#: Marks of a consonant key that it comes from a Hebrew core, or from a Latin one that looks transliterated.
+HEBREW, WIDE = "h", "w"
+
+
 def organisations(spelled: DataFrame) -> DataFrame:
     """(name, entity): names of organisations and the entity each denotes.
 
     spelled: name and rows, names distinct. The core groups names; within a group the concepts (line of
-    business, kind of body, field) tell entities apart: a name whose concepts are part of those of
+    business, kind of body, field) tell entities apart. Latin cores are compared as letters with each other, and
+    as consonants with Hebrew ones; two Latin cores that both look transliterated also as consonants. A name whose concepts are part of those of
     just one entity of the group denotes that entity; one that fits several is an entity of its
     own. Names without a core go by their concepts. Placeholders and names without either don't come out.
     """
@@ -147,18 +163,32 @@ def organisations(spelled: DataFrame) -> DataFrame:
                 consonants = names.skeleton(core)
                 hebrew = any("א" <= ch <= "ת" for ch in core)
                 # transliterated cores have more consonants than vowels and end with one
-                hebrew = hebrew or len(consonants) >= (6 if core and core[-1] not in "aeiou" else 7)
+                wide = not hebrew and len(consonants) >= (6 if core and core[-1] not in "aeiou" else 7)
                 space, key = ("c", "") if not core else ("s", consonants) if hebrew else ("r", core)
-                out.append((name, rows, space, key, main, main))
-            yield pd.DataFrame(out, columns=["name", "rows", "space", "key", "marks", "strong"])
+                out.append((name, rows, space, key, main, consonants, wide))
+            yield pd.DataFrame(out, columns=["name", "rows", "space", "key", "marks", "consonants", "wide"])
 
-    schema = "name string, rows long, space string, key string, marks array<string>, strong array<string>"
+    schema = "name string, rows long, space string, key string, marks array<string>, consonants string, wide boolean"
     profiles = written(spelled.select("name", "rows").mapInPandas(parsed, schema))
     bare = (F.size("marks") == 0) | (F.size("o_marks") == 0)
     share = F.arrays_overlap("marks", "o_marks")
     letters = lambda c: F.array_sort(F.split(c, ""))
     swapped = letters("a") == letters("b")  # two letters in the wrong order are two edits
-    groups = _key_groups(profiles.where("space <> 'c'"), share | (bare & ((F.col("d") <= RADIUS) | swapped)))
+    kept = ["space", "key", "rows", "marks"]
+    first = profiles.where("space <> 'c'").select(*kept, F.when(F.col("space") == "s", F.array(F.lit(HEBREW))).otherwise(F.array().cast("array<string>")).alias("strong"))
+    latin = profiles.where("space = 'r' and consonants <> ''")
+    second = latin.select(
+        F.lit("s").alias("space"), F.col("consonants").alias("key"), "rows", "marks", F.when(F.col("wide"), F.array(F.lit(WIDE))).otherwise(F.array().cast("array<string>")).alias("strong")
+    )
+    in_both = lambda mark: F.array_contains("strong", mark) & F.array_contains("o_strong", mark)
+    seen = lambda c: F.array_contains(c, HEBREW) | F.array_contains(c, WIDE)
+    across = F.array_contains("strong", HEBREW) | F.array_contains("o_strong", HEBREW)
+    # of short consonant keys that neither script makes certain, two edits are too many
+    enough = (seen("strong") & seen("o_strong")) | (F.col("d") <= F.when(F.least(F.length("a"), F.length("b")) >= 6, 2).otherwise(1))
+    readable = (F.col("space") == "r") | in_both(WIDE) | (across & enough)
+    groups = _key_groups(
+        first.unionByName(second), readable & (share | (bare & ((F.col("d") <= RADIUS) | swapped))), latin.select("key", "consonants", "wide").distinct()
+    )
     placed = profiles.join(groups, ["space", "key"], "left").select("name", F.coalesce("comp", F.lit("")).alias("comp"), "marks")
     placed = written(placed)
     kinds = placed.select("comp", "marks").distinct()
