@@ -489,6 +489,14 @@ def discovery_ratio(spark, folder):
     return rounded(reconcile.discovery_ratio(plain, "organization", terms), "discovery_ratio")
 
 
+@query()
+def discovery_ratio_whole(spark, folder):
+    """discovery_ratio of all spellings in all rows; it has no SQL, as word characters differ there."""
+    mentions = table(spark, folder, "article_baskets").where("organization is not null")
+    terms = mentions.groupBy(F.col("organization").alias("term")).agg(F.count(F.lit(1)).alias("positive_count"))
+    return rounded(reconcile.discovery_ratio(mentions, "organization", terms), "discovery_ratio")
+
+
 @query(
     "SELECT DISTINCT o.organization, c.article FROM (SELECT DISTINCT name AS organization, ' ' || lower(name) || ' ' AS p FROM entity_database WHERE regexp_matches(name, '^[A-Za-z .]+$')) o"
     " JOIN (SELECT doc_id AS article, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS body FROM documents WHERE regexp_matches(text, '^[\\x01-\\x7e]+$')) c"
@@ -500,6 +508,13 @@ def gazetteer_mentions(spark, folder):
     return reconcile.gazetteer_mentions(plain, "doc_id", "text", names)
 
 
+@query()
+def gazetteer_mentions_whole(spark, folder):
+    """gazetteer_mentions of all names in all texts; it has no SQL, as word characters differ there."""
+    names = table(spark, folder, "entity_database").select("name")
+    return reconcile.gazetteer_mentions(table(spark, folder, "documents"), "doc_id", "text", names)
+
+
 @query("SELECT type AS category, count(*)::BIGINT AS n FROM entity_database GROUP BY 1")
 def category_counts(spark, folder):
     return reconcile.category_counts(table(spark, folder, "entity_database").select(F.array("type").alias("t")), "t")
@@ -560,6 +575,13 @@ def containing_entities(spark, folder):
     return entities.containing_entities(typed, table(spark, folder, "entity_database")).select("org_name", "id").distinct()
 
 
+@query()
+def containing_entities_whole(spark, folder):
+    """containing_entities of all typed names; it has no SQL, as word characters differ there."""
+    typed = table(spark, folder, "org_entity_matches")
+    return entities.containing_entities(typed, table(spark, folder, "entity_database")).select("org_name", "id").distinct()
+
+
 #: Types of the register's sub-types.
 TYPES = {
     "municipality": "government", "local_council": "government", "ministry": "government", "statutory_authority": "government",
