@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import html, similarity, text
@@ -379,6 +379,13 @@ def clean_prefix_words(spark, folder):
     return plain.select("doc_id", rest.alias("rest")).where("rest <> ''")
 
 
+@query()
+def clean_prefix_words_whole(spark, folder):
+    """clean_prefix_words of all texts: '' if nothing is left, null for null; it has no SQL, as white space differs there."""
+    rest = text.without_leading_terms(F.col("text"), ["The", "A", "Mr", "Mrs", "Prof"])
+    return table(spark, folder, "documents").select("doc_id", rest.alias("rest"))
+
+
 @query("SELECT p_partkey, split_part(p_name, ' ', -1) AS last_word, split_part(p_name, ' ', 1) AS first_word, upper(p_name) AS upper_name, reverse(p_name) AS reversed FROM part")
 def split_tokens(spark, folder):
     part = table(spark, folder, "part")
@@ -741,3 +748,27 @@ def html_visible_text(spark, folder):
 @query("SELECT guest_id, reference_link AS link FROM guests WHERE regexp_matches(job_title, '^[A-Za-z][A-Za-z ]*[A-Za-z]$') AND reference_link IS NOT NULL AND contains(reference_link, 'http')")
 def html_links(spark, folder):
     return _pages(spark, folder).select("guest_id", F.explode(html.matching_links(F.col("html"), "http")).alias("link"))
+
+
+def _escaped(text_: Column) -> Column:
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text_ = F.replace(text_, F.lit(mark), F.lit(entity))
+    return text_
+
+
+def _all_pages(spark, folder) -> DataFrame:
+    """References of all guests as pages; a null title is empty, without a reference there is no target."""
+    target = F.coalesce(F.concat(F.lit(' href="'), _escaped(F.col("reference_link")), F.lit('"')), F.lit(""))
+    title = _escaped(F.coalesce("job_title", F.lit("")))
+    page = F.concat(F.lit("<html><head><title>x</title></head><body><!-- c --><p>"), title, F.lit("</p><script>y</script><a"), target, F.lit(">z</a></body></html>"))
+    return table(spark, folder, "guests").select("guest_id", page.alias("html"))
+
+
+@query()
+def html_visible_text_whole(spark, folder):
+    return _all_pages(spark, folder).select("guest_id", html.visible_text(F.col("html")).alias("shown"))
+
+
+@query()
+def html_links_whole(spark, folder):
+    return _all_pages(spark, folder).select("guest_id", F.explode(html.matching_links(F.col("html"), "http")).alias("link"))
