@@ -1,131 +1,25 @@
 """What a freely typed name of an organisation or a person is made of.
 
-A name of an organisation is read as a core, the proper name, and concepts: legal form, kind
-of body, line of business, field. Words of both languages and their abbreviations stand for
-one concept; small typing errors in them are allowed. Cores are compared as consonants, in
-which Hebrew and its transliteration agree, or as letters.
+A name of an organisation is read as a core, the proper name, and concepts, the words that many
+names have: kind of body, line of business, field. Which words these are, and which of two
+languages mean the same, is learned from a register (lexicon.py); here they are found in names
+with typing errors and abbreviated. Cores are compared as consonants, in which Hebrew and its
+transliteration agree, or as letters.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
-from functools import lru_cache
-
-#: Words of organisations' names by concept, Hebrew and English, with usual abbreviations.
-CONCEPTS = {
-    "ltd": "בעמ ltd limited",
-    "inc": "inc",
-    "co": "co company חברת חברה",
-    "group": "group grp קבוצת קבוצה",
-    "b:insurance": "ביטוח בטוח insurance ins",
-    "b:printing": "דפוס printing print prtg",
-    "b:holdings": "אחזקות אחז holdings hldgs hold holding",
-    "b:tourism": "תיירות תייר tourism tour",
-    "b:shipping": "ספנות ספנ shipping ship shpg",
-    "b:metals": "מתכות מתכ metals metal",
-    "b:media": "מדיה media",
-    "b:trading": "סחר trading trdg",
-    "b:international": "בינלאומי בינל international intl int",
-    "b:consulting": "יעוץ ייעוץ consulting cons consultants",
-    "b:management": "וניהול ניהול management mgmt mgt",
-    "b:pharma": "תרופות תרופ pharmaceuticals pharma pharm",
-    "b:energy": "אנרגיה אנר energy",
-    "b:labs": "מעבדות מעב laboratories labs lab",
-    "b:chemicals": "כימיקלים כימ chemicals chem",
-    "b:textiles": "טקסטיל טקס textiles textile tex",
-    "b:haulage": "הובלה הוב haulage haul",
-    "b:systems": "מערכות מער systems sys",
-    "b:dairies": "מחלבות מחל dairies dairy",
-    "b:software": "תוכנה תוכ software soft sw",
-    "b:properties": "נכסים נכס properties props prop",
-    "b:industries": "תעשיות תעש תע industries inds ind",
-    "b:development": "פיתוח פית development devt dev",
-    "b:engineering": "הנדסה הנד engineering engrg eng",
-    "k:municipality": "עיריית ערית עירית עיר municipality munic muni",
-    "k:council": "מועצה מועצת מוע council cncl coun",
-    "k:local": "מקומית local",
-    "k:corporation": "תאגיד תאג corporation corp",
-    "k:association": "עמותת עמותה עמ association assoc assn",
-    "k:university": "אוניברסיטת אונ אוני university univ",
-    "k:consulate": "קונסוליית consulate cons'l",
-    "k:ministry": "משרד מש ministry min",
-    "k:authority": "רשות authority auth",
-    "water": "המים מים water waters",
-    "x:football": "הכדורגל football",
-    "x:club": "מועדון club",
-    "x:alumni": "alumni בוגרי",
-    "x:society": "society אגודת",
-    "x:choir": "choir מקהלת",
-    "x:friends": "friends ידידי",
-    "x:orchestra": "תזמורת orchestra",
-    "x:workers": "עובדי workers",
-    "x:committee": "ועד committee",
-    "x:sons": "sons",
-    "x:partners": "partners שותפים",
-    "x:fund": "fund קרן",
-    "x:branch": "branch סניף",
-    "t:coastal": "חופיים coastal",
-    "t:food": "המזון food",
-    "t:quality": "איכות quality",
-    "t:safety": "בטיחות safety",
-    "t:workplace": "בעבודה workplace",
-    "t:health": "בריאות health",
-    "t:public": "הציבור ציבורי public",
-    "t:fisheries": "דיג fisheries",
-    "t:seafaring": "וימאות seafaring",
-    "t:housing": "דיור housing",
-    "t:protection": "הגנת protection",
-    "t:consumer": "הצרכן consumer",
-    "t:education": "חינוך education",
-    "t:technical": "טכנולוגי technical",
-    "t:farming": "חקלאות farming",
-    "t:desert": "מדברית desert",
-    "t:forests": "יערות forests",
-    "t:reserves": "ושמורות reserves",
-    "t:science": "מדע science",
-    "t:applied": "יישומי applied",
-    "t:heritage": "מורשת heritage",
-    "t:culture": "ותרבות culture",
-    "t:mining": "מחצבים quarries",
-    "t:quarries": "וכרייה mining",
-    "t:trade": "מסחר trade",
-    "t:small": "זעיר small",
-    "t:statistics": "סטטיסטיקה statistics",
-    "t:national": "לאומית national",
-    "t:sport": "ספורט sport",
-    "t:leisure": "ופנאי leisure",
-    "t:south": "הדרום southern",
-    "t:north": "הצפון northern",
-    "t:absorption": "קליטה resettlement",
-    "t:rehabilitation": "ושיקום",
-    "t:welfare": "רווחת welfare",
-    "t:elder": "הקשיש elder",
-    "t:settlement": "שיכון settlement",
-    "t:rural": "כפרי rural",
-    "t:transport": "תחבורה transport transp",
-    "t:ports": "ונמלים ports",
-    "t:land": "יבשתית land",
-    "t:aviation": "תעופה aviation",
-    "t:civil": "אזרחית civil",
-    "t:communications": "תקשורת communications",
-    "t:surveying": "ומדידה surveying",
-    "t:renewable": "מתחדשת renewable",
-}
-#: Fields of work, whose initials make the acronyms of ministries.
-FIELDS = (
-    "coastal waters|food quality|workplace safety|public health|fisheries seafaring|public housing|consumer protection"
-    "|technical education|desert farming|forests reserves|applied science|heritage culture|mining quarries|small trade"
-    "|national statistics|sport leisure|southern development|northern development|resettlement|elder welfare"
-    "|rural settlement|transport ports|land transport|civil aviation|communications surveying|renewable energy"
-)
+
+#: Legal forms and words for a body as such, which tell no organisations apart.
+LEGAL_FORMS = "בעמ ltd limited inc co company חברת חברה group grp קבוצת קבוצה"
 #: Words that say who speaks for an organisation, and words without meaning here.
 ROLES = (
     "נציגי נציג נציגת יור דירקטוריון דירקטור דירקטורית בשם צוות לשכת בשליחות מטעם מנכל rep representative behalf board legal counsel ceo"
     " spokesperson director chairperson"
 )
-FILLERS = "of for and the on למען &"
+FILLERS = "of for and the on למען של &"
 #: Placeholders in place of a name.
 PLACEHOLDERS = "אחר|לא ידוע|תושב|תושבת|פרטי|עצמאי|אזרח|self employed|private|none|n/a|na|unknown|other|resident|retired|אין|ללא|citizen"
 
@@ -199,52 +93,124 @@ def _errors(word: str) -> int:
 
 
 class Lexicon:
-    """Concepts by word, with typing errors."""
+    """The generic words of a register: their concept, how often they occur and lead, and which concepts go together."""
 
-    def __init__(self) -> None:
+    def __init__(self, words: dict[str, tuple[str, int, int]], together: dict[tuple[str, str], int]) -> None:
         plain = lambda text: [w.translate(FINALS) for w in text.split()]
-        self.exact = {w: concept for concept, forms in CONCEPTS.items() for w in plain(forms)}
-        self.roles = set(plain(ROLES))
-        self.fillers = set(plain(FILLERS))
-        for w in self.roles:
-            self.exact.setdefault(w, "role")
-        for w in self.fillers:
-            self.exact.setdefault(w, "")
+        self.words, self.together = words, together
+        self.weights: dict[str, int] = {}
+        self.core_weight = 1
+        self.held: dict[str, frozenset[str]] = {}
+        self.initials: dict[str, str] = {}
+        self.places: dict[str, set[str]] = {}
+        self.void = {**dict.fromkeys(plain(FILLERS), ""), **dict.fromkeys(plain(LEGAL_FORMS), ""), **dict.fromkeys(plain(ROLES), "")}
+        self.exact = {**{w: concept for w, (concept, _, _) in words.items()}, **self.void}
         self.near: dict[str, list[str]] = {}
         for word in self.exact:
             for d in _deletions(word, _errors(word)):
                 self.near.setdefault(d, []).append(word)
-        self.acronyms: dict[str, set[str]] = {}
-        for field in FIELDS.split("|"):
-            concepts = {self.exact[w] for w in field.split()}
-            self.acronyms["mo" + "".join(w[0] for w in field.split())] = {"k:ministry", *concepts}
-        resettled = {"t:absorption"}
-        self.acronyms["mor"] = {"k:ministry"} | resettled
-
-    @lru_cache(maxsize=1 << 17)  # noqa: B019
-    def concept(self, word: str) -> str | None:
-        """The concept of a word; '' for a word without meaning, None for a proper name."""
+        # abbreviations begin like their word
+        self.by_first: dict[str, list[str]] = {}
+        for word in words:
+            self.by_first.setdefault(word[0], []).append(word)
+        self._seen: dict[str, str | tuple[str, ...] | None] = {}
+
+    def read(self, word: str) -> str | tuple[str, ...] | None:
+        """The concept of a word, '' for one without meaning, several words it may abbreviate, None for a proper name."""
+        if word not in self._seen:
+            if len(self._seen) >= 1 << 17:
+                self._seen.clear()
+            self._seen[word] = self._read(word)
+        return self._seen[word]
+
+    def _read(self, word: str) -> str | tuple[str, ...] | None:
         found = self.exact.get(word)
         if found is not None:
             return found
         best = None
         for d in _deletions(word, 2 if len(word) >= 8 else 1 if len(word) >= 4 else 0):
             for other in self.near.get(d, ()):
-                limit = min(_errors(other), 2 if len(word) >= 8 else 1)
+                limit = min(_errors(other), 2 if len(word) >= 8 else 1 if len(word) >= 4 else 0)
                 far = distance(word, other, limit)
                 rank = (far, word.translate(ALIKE) != other.translate(ALIKE), other)
                 if far <= limit and (best is None or rank < best):
                     best = rank
-        return self.exact[best[2]] if best else None
-
-
-_lexicon: Lexicon | None = None
-
-
-def lexicon() -> Lexicon:
-    global _lexicon
-    _lexicon = _lexicon or Lexicon()
-    return _lexicon
+        if best:
+            return self.exact[best[2]]
+        longer = [w for w in self.by_first.get(word[0], ()) if len(w) > len(word)]
+        begun = [w for w in longer if w.startswith(word)]
+        if not begun and 2 <= len(word) <= LONGEST_ABBREVIATION:
+            begun = [w for w in longer if 5 * len(word) <= 4 * len(w) and _in_order(word, w)]
+        return tuple(begun) or None
+
+    def concepts(self, parts: list[str]) -> tuple[list[str], set[str]]:
+        """(proper words, concepts) of the words of a name; an abbreviation of several words goes with the other concepts, its place, and how often they occur."""
+        read = [self.read(w) for w in parts]
+        sure = {r for r in read if isinstance(r, str) and r}
+        proper = [w for w, r in zip(parts, read) if r is None]
+        found = set(sure)
+        first = next((k for k, r in enumerate(read) if r != ""), 0)
+        for k, (word, r) in enumerate(zip(parts, read)):
+            if not isinstance(r, tuple):
+                continue
+            ranked = []
+            for w in r:
+                concept, often, leads = self.words[w]
+                fits = sum(self.together.get((min(concept, c), max(concept, c)), 0) > 0 for c in sure if c != concept)
+                ranked.append((fits, (leads * 2 > often) == (k == first), often, concept))
+            ranked.sort(reverse=True)
+            clear = len({x[3] for x in ranked}) == 1 or ranked[0][:2] > next(x for x in ranked if x[3] != ranked[0][3])[:2]
+            if clear or len(word) > 1:
+                found.add(ranked[0][3])
+        # a word of one language that other concepts hold in themselves says nothing beside them
+        return proper, {c for c in found if not self.held.get(c, frozenset()) & found}
+
+
+    def phrases(self, parts: list[str]) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+        """(concept, initials) of the generic words of a name, and of a name of two concepts alone (concept, its place).
+
+        The place of the first is `1` and the initial of the small word after it, that of the last `2`.
+        """
+        concepts = [self.exact.get(w) for w in parts]
+        present = {c for c in concepts if c}
+        # words that another concept holds belong to its phrase
+        owner = {c: min(self.held[c] & present) if self.held.get(c, frozenset()) & present else c for c in present}
+        found: dict[str, str] = {}
+        order: list[str] = []
+        for word, concept in zip(parts, concepts):
+            if concept:
+                key = owner[concept]
+                found[key] = found.get(key, "") + word[0]
+                order.append(key)
+        places = []
+        if len(found) == 2 and None not in concepts:
+            second = parts[1] if concepts[1] == "" else ""
+            places = [(order[0], "1" + second[:1]), (order[-1], "2")]
+        return list(found.items()), places
+
+    def acronyms(self, concepts: list[str]) -> set[str]:
+        """The initials of a body of two concepts, a kind and a field, in the places that the kind has in the register."""
+        found = set()
+        if len(concepts) == 2:
+            for kind, field in (concepts, concepts[::-1]):
+                a, b = self.initials.get(kind), self.initials.get(field)
+                for place in self.places.get(kind, ()) if a and b else ():
+                    found |= {a + place[1:] + b, a + b} if place[0] == "1" else {b + a}
+        return found
+
+
+#: Letters of the longest word that is read as an abbreviation which leaves letters out.
+LONGEST_ABBREVIATION = 5
+
+
+def _in_order(short: str, word: str) -> bool:
+    """Whether all letters of an abbreviation occur in the word in their order."""
+    rest = iter(word)
+    return all(ch in rest for ch in short)
+
+
+def is_hebrew(text: str) -> bool:
+    return bool(_HEBREW.search(text))
 
 
 def skeleton(core: str) -> str:
@@ -275,64 +241,20 @@ def grams(word: str, n: int = 3) -> list[str]:
     return found
 
 
-def readings(core: str, concepts: list[str]) -> list[tuple[str, list[str]]]:
-    """The token sets under which a name is searched: of its consonants, of its letters, or else of its concepts."""
-    if not core:
-        main = main_concepts(concepts)
-        return [("c", [f"c:{c}" for c in main])] if main else []
-    consonants = skeleton(core)
-    found = [("s", [f"s:{g}" for g in grams(consonants)])] if len(consonants) > 1 else []
-    if not _HEBREW.search(core):
-        found.append(("r", [f"r:{g}" for g in grams(core)]))
-    return found
-
-
-def core_distance(a: str, b: str) -> int:
-    """Edits between two cores, as letters of one script or as consonants; 9 if they are too far apart to be one."""
-    both_latin = not _HEBREW.search(a + b)
-    if both_latin:
-        most = 2 if min(len(a), len(b)) >= 8 else 1 if min(len(a), len(b)) >= 4 else 0
-        letters = distance(a, b, most)
-        return letters if letters <= most else 9
-    a, b = skeleton(a), skeleton(b)
-    most = 1 if min(len(a), len(b)) >= 4 else 0
-    if min(len(a), len(b)) >= 6:
-        most = 2
-    far = distance(a, b, most)
-    return far if far <= most else 9
+def organisation(name: str, lexicon: Lexicon) -> tuple[str, list[str]]:
+    """(core, concepts) of a name; the core is the joined words that have no concept, concepts are sorted."""
+    parts = [w for w in words(name) if w]
+    proper, concepts = lexicon.concepts(parts)
+    return "".join(w for w in proper if len(w) > 1 or w.isdigit()), sorted(concepts)
 
 
-def organisation(name: str) -> tuple[str, list[str]]:
-    """(core, concepts) of a name; the core is the joined words that have no concept, concepts are sorted."""
-    lex = lexicon()
-    core, concepts = [], set()
+def acronyms(name: str) -> set[str]:
+    """The initials of a name in Latin letters, with and without its small words, if there are at least two."""
     parts = words(name)
-    for k, word in enumerate(parts):
-        acronym = lex.acronyms.get(word) if not _HEBREW.search(word) else None
-        if acronym:
-            concepts |= acronym
-            continue
-        if len(word) == 1 and word != "&" and not word.isdigit():
-            # single letters abbreviate the kind of body
-            if word == "מ":
-                later = [lex.concept(w) for w in parts if w != word]
-                concepts.add("k:council" if "k:local" in later else "k:ministry")
-            elif word == "ע":
-                concepts.add("k:municipality")
-            elif word == "u":
-                concepts.add("k:university")
-            elif word == "ק":
-                concepts.add("group")
-            continue
-        concept = lex.concept(word)
-        if concept is None:
-            core.append(word)
-        elif concept and concept != "role":
-            concepts.add(concept)
-    if "t:rehabilitation" in concepts:
-        concepts -= {"t:rehabilitation"}
-        concepts.add("t:absorption")
-    return "".join(core), sorted(concepts)
+    if _HEBREW.search(name):
+        return set()
+    joined = {"".join(w[0] for w in parts if w != "and"), "".join(w[0] for w in parts), "".join(w[0] for w in parts if w not in FILLERS.split())}
+    return {j for j in joined if len(j) > 1}
 
 
 def is_placeholder(name: str) -> bool:
@@ -340,11 +262,6 @@ def is_placeholder(name: str) -> bool:
     return not plain or plain in {" ".join(words(p)) for p in PLACEHOLDERS.split("|")}
 
 
-def main_concepts(concepts: Iterable[str]) -> list[str]:
-    """The concepts that tell organisations of one core apart: all but legal forms."""
-    return sorted(c for c in concepts if c not in {"ltd", "inc", "co", "group"})
-
-
 def person(name: str) -> list[str]:
     """The words of a person's name without titles, in written order."""
     titles = {w.translate(FINALS) for w in TITLES.split()}

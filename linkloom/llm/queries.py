@@ -36,7 +36,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _spelled(names: DataFrame) -> DataFrame:
-    return names.where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
+    return names.where("name is not null").distinct()
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,8 +45,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
         _table(spark, folder, "article_baskets").select(F.col("organization").alias("name"))
     )
     people = _spelled(guests.select(F.col("full_name").alias("name")))
-    of_people = variants.persons(people, _table(spark, folder, "nicknames"))
-    of_organisations = variants.organisations(_spelled(organisations))
+    of_people, of_organisations = variants.resolved(
+        variants.person_steps(people, _table(spark, folder, "nicknames")),
+        variants.organisation_steps(_spelled(organisations), _table(spark, folder, "entity_database"), ["name", "name_eng"]),
+    )
     pairs = variants.spelling_pairs(of_people).select(F.lit("person").alias("kind"), "name_a", "name_b")
     return pairs.unionByName(
         variants.spelling_pairs(of_organisations).select(F.lit("organisation").alias("kind"), "name_a", "name_b")
