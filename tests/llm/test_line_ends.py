@@ -22,3 +22,15 @@ def test_no_cut_within_brackets_and_quotations(spark):
 def test_a_title_in_a_text_of_short_lines(spark):
     units = ["某某集团再次出席委员会", "财务主管支持草案。", "没有人来。"]
     assert _units(spark, "\n".join(units)) == units
+
+
+def test_quotations_and_brackets_of_any_length(spark):
+    said = "The panel met. It left. " * 100
+    for opener, closer in ('""', "“”", "«»", "()"):
+        units = [f"He wrote {opener}{said.strip()}{closer} and left.", "Then it rained."]
+        assert _units(spark, " ".join(units)) == units
+
+
+def test_thai_lists_names_and_years(spark):
+    units = ["รายการนี้ประกอบด้วยบ้าน สวน ฯลฯ เท่านั้น", "ดร. โลนิดู เดินออกจากห้อง", "เขาอ้างถึงข้อตกลงปี 2009", "มีผู้เข้าร่วม 1500 คน"]
+    assert _units(spark, " ".join(units)) == units

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from linkloom.llm import components, copies, linking, names, packing, sentences, together, tokens, variants
+from linkloom.llm import components, copies, lexicon, linking, names, packing, sentences, together, tokens, variants
 
 
 # --- copies ------------------------------------------------------------------------------------
@@ -34,6 +34,15 @@ def test_copies(spark, rows_of):
     df = spark.createDataFrame(rows, "id long, m string, n string, c string, j string").withColumnRenamed("m", "meeting")
     found = copies.formatting_copies(df, "id", ["meeting", "n"], ["c", "j"], ["j"])
     assert rows_of(found) == [(1, 2, 3), (1, 3, 3), (10, 11, 2), (12, 13, 2), (4, 5, 2)]
+    # byte-identical rows are one list of ids, however far apart these are, unless they are too many for one
+    spread = [(int.from_bytes(random.Random(k).randbytes(7)), "m", "n", "Foo", "Head" if k % 3 else "head") for k in range(90)]
+    many = spark.createDataFrame(spread, "id long, meeting string, n string, c string, j string")
+    first = min(r[0] for r in spread)
+    want = sorted([(first, r[0], 90) for r in spread if r[0] != first], key=repr)
+    for chunk in (1 << 16, 10):
+        assert rows_of(copies.formatting_copies(many, "id", ["meeting", "n"], ["c", "j"], ["j"], chunk)) == want
+    assert copies.collapsed(many, "id", ["meeting", "n"], ["c", "j"]).count() == 2
+    assert copies.collapsed(many, "id", ["meeting", "n"], ["c", "j"], 10).count() > 2
     assert copies.formatting_copies(df.where("1 = 0"), "id", ["meeting", "n"], ["c", "j"]).count() == 0
 
 
@@ -252,9 +261,72 @@ def test_lines_nulls_and_long_texts(spark):
 # --- names, linking, variants ------------------------------------------------------------------
 
 
+LINES = [
+    ('{h} מערכות בע"מ', "{l} Systems Ltd."), ('{h} מדיה בע"מ', "{l} Media Ltd."), ('{h} תרופות בע"מ', "{l} Pharmaceuticals Ltd."),
+    ('{h} כימיקלים בע"מ', "{l} Chemicals Ltd."), ('{h} יעוץ וניהול בע"מ', "{l} Management Consulting Ltd."), ("עיריית {h}", "Municipality of {l}"),
+    ("תאגיד המים {h}", "{l} Water Corporation"), ("עמותת {h} למען מים חופיים", "{l} Association for Coastal Waters"),
+    ("עמותת {h} למען דיור ציבורי", "{l} Association for Public Housing"), ("עמותת {h} למען בריאות הציבור", "{l} Association for Public Health"),
+]
+BODIES = [
+    ("משרד דיור ציבורי", "Ministry of Public Housing"), ("משרד בריאות הציבור", "Ministry of Public Health"), ("משרד מדיה", "Ministry of Media"), ("משרד מערכות", "Ministry of Systems"),
+    ("משרד מים חופיים", None), ("רשות מים חופיים", "Coastal Waters Authority"), ("רשות דיור ציבורי", "Public Housing Authority"), ("רשות מדיה", "Media Authority"), ("רשות מערכות", "Systems Authority"),
+]
+
+
+def _cored(lines, n, seed):
+    """n entries of each line with proper names of their own."""
+    rng = random.Random(seed)
+    hebrew = dict(zip("bgdzTlmnsprS", "בגדזטלמנספרש"))
+    found = []
+    for h, l in lines:
+        for _ in range(n):
+            core = [rng.choice("bgdzTlmnsprS") for _ in range(8)]
+            latin = "".join(("tz" if c == "T" else "sh" if c == "S" else c) + "aeiou"[k % 5] for k, c in enumerate(core))
+            found.append((h.format(h="".join(hebrew[c] for c in core)), l.format(l=latin.capitalize())))
+    return found
+
+
+REGISTER = _cored(LINES, 6, 8) + BODIES
+
+
+def _listed(spark, rows, extra=()):
+    whole = [(1000 + k, *r) for k, r in enumerate(rows)] + list(extra)
+    return spark.createDataFrame(whole, "id long, name string, name_eng string")
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    return lexicon.learned(_listed(spark, REGISTER), ["name", "name_eng"])
+
+
+def test_generic_words_are_learned(spark, learned):
+    read = lambda n: names.organisation(n, learned)
+    assert read("on behalf of X-Zokodofono Mgmt. Consulteng L.T.D.") == ("zokodofono", read("זקדפן יעוץ וניהול")[1])
+    assert read("Munic. of Zokodofono") == read("Municpality of Zokodofono") == ("zokodofono", read("ערית אבג")[1])
+    assert read("Min. of Public Health") == read("מ. בריאות הציבור") == read("משרד בריאות הציבור") != read("משרד דיור ציבורי")
+    assert read("Zokodofono Football Club") == ("zokodofonofootballclub", [])
+    assert learned.acronyms(read("משרד מים חופיים")[1]) >= {"mocw", "mcw"}
+    empty = lexicon.learned(_listed(spark, REGISTER).where("1 = 0"), ["name", "name_eng"])
+    assert names.organisation("Zokodofono Media Ltd.", empty) == ("zokodofonomedia", [])
+
+
+def test_words_of_another_register(spark):
+    """No word is known beforehand: libraries, bakeries and zoos are learned like the rest."""
+    lines = [("ספריית {h}", "{l} Library"), ("מאפיית {h}", "{l} Bakery"), ("גן החיות {h}", "Zoological Gardens of {l}"), ("תיאטרון {h}", "{l} Theatre")]
+    rows = _cored(lines, 12, 9)
+    listed = _listed(spark, rows)
+    typed, want = [], []
+    for k, (h, l) in enumerate(rows):
+        core = l.replace("Library", "").replace("Bakery", "").replace("Theatre", "").replace("Zoological Gardens of", "").strip()
+        wrong = core[:4] + core[5:]  # a letter is missing
+        typed += [(4 * k, h.upper()), (4 * k + 1, l.replace(core, wrong)), (4 * k + 2, l.replace("Library", "Libr.").replace("Zoological", "Zool.")), (4 * k + 3, f"{core} Sports Club")]
+        want += [(4 * k, 1000 + k), (4 * k + 1, 1000 + k), (4 * k + 2, 1000 + k), (4 * k + 3, -1)]
+    df = spark.createDataFrame(typed, "match_id long, org_name string")
+    found = linking.linked(df, "match_id", "org_name", None, listed, "id", ["name", "name_eng"])
+    assert sorted((r["match_id"], r["entity_id"]) for r in found.collect()) == want
+
+
 def test_names():
-    assert names.organisation("on behalf of X-Zokodofono Mgmt. Consulteng L.T.D.") == ("zokodofono", ["b:consulting", "b:management", "ltd"])
-    assert names.organisation("MoCW")[1] == names.organisation("משרד מים חופיים")[1] == names.organisation("M.O.C.W.")[1]
     assert names.skeleton("חפצדמחש") == names.skeleton("chupitzdimuchesh")
     assert names.is_placeholder(" לא ידוע ") and names.is_placeholder("n/a") and not names.is_placeholder("Foo")
     assert names.distance("abcd", "abdc") == 1 and names.distance("abc", "xyz", 1) == 2
@@ -267,23 +339,29 @@ def test_distance_is_symmetric(data):
     assert names.distance(a, b) == names.distance(b, a)
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+@pytest.mark.parametrize("threshold", [0.3, 0.55, 0.7, 0.8])
 def test_similarity_join_is_exact(spark, threshold):
     rng = random.Random(6)
-    draw = lambda n: [(f"{k}", [f"t{int(rng.random() ** 3 * 30)}" for _ in range(rng.randrange(0, 9))]) for k in range(n)]
-    left, right = [(k, sorted(set(t))) for k, t in draw(60)], [(k, sorted(set(t))) for k, t in draw(60)]
-    want = {(a, b) for a, x in left for b, y in right if x and y and len({*x} & {*y}) / len({*x} | {*y}) >= threshold}
-    schema = "id string, tokens array<string>"
-    found = linking.set_similarity_join(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), threshold)
+    draw = lambda n: [(f"{k}", sorted({f"t{int(rng.random() ** 3 * 30)}" for _ in range(rng.randrange(0, 9))})) for k in range(n)]
+    wide = [f"u{k}" for k in range(200)]
+    # of just the threshold, and of one token less
+    sizes = [wide[:100], wide[:55], wide[:70], wide[:54], wide, wide[:140], wide[:110], wide[100:]]
+    left, right = draw(60) + [(f"w{k}", w) for k, w in enumerate(sizes)], draw(60) + [(f"w{k}", w) for k, w in enumerate(sizes)]
+    weight = {t: 1 + sum(map(ord, t)) % 3 if t[0] == "t" else 1 for _, x in left + right for t in x}
+    of = lambda tokens: sum(weight[t] for t in tokens)
+    want = {(a, b) for a, x in left for b, y in right if x and y and of({*x} & {*y}) / of({*x} | {*y}) >= threshold - 1e-12}
+    schema = "id string, tokens array<struct<token: string, weight: int>>"
+    made = lambda rows: spark.createDataFrame([(k, [(t, weight[t]) for t in x]) for k, x in rows], schema)
+    found = linking.set_similarity_join(made(left), made(right), threshold)
     got = [(r["left_id"], r["right_id"]) for r in found.collect()]
     assert set(got) == want and len(got) == len(want)
+    if threshold == 0.55:
+        assert ("w0", "w1") in want and ("w0", "w3") not in want
 
 
 def test_linking(spark):
-    register = spark.createDataFrame(
-        [(1, 'רהגלכהז תרופות בע"מ', None), (2, "עיריית מבטזשקר", "Municipality of Mebitzashaqar"), (3, "תאגיד המים מבטזשקר", None), (4, "משרד מים חופיים", None), (5, None, None)],
-        "id long, name string, name_eng string",
-    )
+    own = [(1, 'רהגלכהז תרופות בע"מ', None), (2, "עיריית מבטזשקר", "Municipality of Mebitzashaqar"), (3, "תאגיד המים מבטזשקר", None), (4, "משרד מים חופיים", None), (5, None, None)]
+    register = _listed(spark, [r for r in REGISTER if r[0] != "משרד מים חופיים"], own)
     rows = [
         (1, 'נציגי רהגלכהז תרופות בע"מ', None), (2, "Rehugolkohuz Pharma Ltd.", None), (3, "Munic. of Mebitzashaqar", None), (4, "מבטזשקר", "תאג' המים מבטזשקר"),
         (5, "MoCW", None), (6, "Mebitzashaqar Football Club", None), (7, "לא ידוע", None), (8, " ", "x"), (9, None, "x"), (10, 'רהגלכהז מדיה בע"מ', None),
@@ -299,24 +377,18 @@ def test_linking(spark):
 
 
 def test_radius_links_are_exact(spark):
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
     rng = random.Random(7)
-    keys = {"".join(rng.choice("abcd") for _ in range(rng.randrange(3, 8))) for _ in range(120)}
+    keys = {"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 8))) for _ in range(120)} | {"dcba", "dbca", "cdba"}
     base = "abcdefghijklmnopqrstuvwxyz" * 2
-    keys |= {base, base[1:], base[:30] + "#" + base[31:], base[:22], base[:23], base[:24], base[:25], base[:26]}
-    df = spark.createDataFrame([("s", k, rng.randrange(1, 5)) for k in sorted(keys)] + [("t", "abab", 9)], "space string, key string, rows long")
-    got = {(r["a"], r["b"]): r["d"] for r in variants.radius_links(df).collect()}
-    usable = sorted(k for k in keys if len(k) >= variants.SHORTEST)
-    want = {(a, b) for a, b in itertools.combinations(usable, 2) if edits(a, b) <= variants.RADIUS}
-    assert want <= set(got)
-    assert all(edits(a, b) == d <= variants.COVER + variants.RADIUS for (a, b), d in got.items())
+    keys |= {base, base[1:], base[:30] + "#" + base[31:], base[:10] + base[11] + base[10] + base[12:], base[:22], base[:23], base[:24], base[:25], base[:26]}
+    rows = [("s", k) for k in sorted(keys)] + [("t", "abab"), ("t", "")]
+    got = {(r["space"], r["a"], r["b"]): r["d"] for r in variants.radius_links(spark.createDataFrame(rows, "space string, key string")).collect()}
+    want = {("s", a, b): names.distance(a, b) for a, b in itertools.combinations(sorted(keys), 2) if names.distance(a, b) <= variants.RADIUS}
+    assert got == want
+    # a link depends on its two keys only
+    some = [r for r in rows if hash(r[1]) % 3 or len(r[1]) > 20]
+    part = {(r["space"], r["a"], r["b"]) for r in variants.radius_links(spark.createDataFrame(some, "space string, key string")).collect()}
+    assert part == {x for x in want if ("s", x[1]) in some and ("s", x[2]) in some}
 
 
 def _same(found):
@@ -332,12 +404,13 @@ def test_organisations(spark):
         "Zokodofono Media Ltd.", ".", "x" * 3000,
     ]
     df = spark.createDataFrame([(n, 5) for n in spelled], "name string, rows long")
-    got = _same(variants.organisations(df))
+    register = _listed(spark, REGISTER)
+    got = _same(variants.organisations(df, register, ["name", "name_eng"]))
     assert ["MoCW", "משרד מים חופיים"] in got
     assert sorted(["Zokodofono", "rep. of Zokodofno Media", "Zokodofono Media Ltd."]) in got
     assert sorted(spelled[:3]) in got and ['ננהפכבך מדיה בע"מ'] in got
     assert not any("אחר" in v or "." in v for v in got)
-    assert variants.organisations(df.where("1 = 0")).count() == 0
+    assert variants.organisations(df.where("1 = 0"), register, ["name", "name_eng"]).count() == 0
 
 
 def test_persons(spark):
@@ -349,3 +422,24 @@ def test_persons(spark):
     assert ["H Vunosujajo"] in got and ["Helena Vunosujajo"] in got
     assert sorted(spelled[-2:]) in got
     assert variants.persons(df.where("1 = 0"), nick).count() == 0
+
+
+def test_entities_dont_depend_on_row_counts(spark):
+    """The same names among many others, and the query's tables with every row many times, give the same links."""
+    cores = ["Zokodofono", "Zokodofno", "Zokodofo", "Zokadofo"]
+    spelled = [f"{c} Media" for c in cores]
+    register = _listed(spark, REGISTER)
+    found = []
+    for many in (1, 3, 100):
+        df = spark.createDataFrame([(n,) for n in spelled for _ in range(many)], "name string").distinct()
+        found.append(_same(variants.organisations(df, register, ["name", "name_eng"])))
+    assert found[0] == found[1] == found[2]
+    more = [f"{latin} Media" for _, latin in _cored([("{h}", "{l}")], 40, 11)]
+    among = _same(variants.organisations(spark.createDataFrame([(n,) for n in spelled + more], "name string"), register, ["name", "name_eng"]))
+    assert [v for v in among if v[0] in spelled] == found[0]
+    people = ["Tomer Oz", "Oz Tomer", "Tomer Os"]
+    given = [f"Tomer {latin}" for _, latin in _cored([("{h}", "{l}")], 45, 12)]
+    nick = spark.createDataFrame([("Daniel", "Danny")], "formal string, short_form string")
+    for size in (8, 45):
+        df = spark.createDataFrame([(n,) for n in people + given[:size]], "name string")
+        assert sorted(people) in _same(variants.persons(df, nick))
