@@ -66,8 +66,9 @@ def resolved(*kinds: Steps) -> list[DataFrame]:
     """
     union = lambda tables: tables[0] if len(tables) == 1 else tables[0].unionByName(union(tables[1:]))
     links = written(radius_links(union([next(k) for k in kinds]).distinct()))
-    groups = components(union([k.send(links) for k in kinds]), "a", "b")
-    return [k.send(groups) for k in kinds]
+    edges = written(union([k.send(links) for k in kinds]))
+    groups = written(components(edges, "a", "b"))
+    return [written(k.send(groups)) for k in kinds]
 
 
 def organisations(spelled: DataFrame, register: DataFrame, name_columns: list[str]) -> DataFrame:
