@@ -41,6 +41,53 @@ def _page(html: str) -> _Page:
     return page
 
 
+class _Selected(HTMLParser):
+    """The first attribute value, or the first text, of elements of a tag with given attributes."""
+
+    def __init__(self, tag: str, where: dict[str, str], attribute: str | None) -> None:
+        super().__init__(convert_charrefs=True)
+        self.tag, self.where, self.attribute, self.found, self.inside = tag, where, attribute, None, 0
+
+    def _fits(self, attributes: dict[str, str | None]) -> bool:
+        # one of several classes is enough
+        return all(v in (attributes.get(k) or "").split() if k == "class" else attributes.get(k) == v for k, v in self.where.items())
+
+    def handle_starttag(self, tag, attributes):
+        if self.inside and tag == self.tag:
+            self.inside += 1
+        elif tag == self.tag and self._fits(dict(attributes)):
+            if self.attribute is None:
+                self.inside = 1
+            elif self.found is None:
+                self.found = dict(attributes).get(self.attribute)
+
+    def handle_endtag(self, tag):
+        if self.inside and tag == self.tag:
+            self.inside -= 1
+
+    def handle_data(self, data):
+        if self.inside and self.found is None:
+            self.found = data
+
+
+def selected(html: Column, tag: str, where: dict[str, str], attribute: str | None = None) -> Column:
+    """Of the first element of a tag with these attributes that has it, the value of an attribute, or without one its first text; else null."""
+
+    @F.pandas_udf("string")
+    def first(pages: pd.Series) -> pd.Series:
+        def one(page: str | None) -> str | None:
+            if page is None:
+                return None
+            parser = _Selected(tag, where, attribute)
+            parser.feed(page)
+            parser.close()
+            return parser.found
+
+        return pages.map(one)
+
+    return first(html)
+
+
 def visible_text(html: Column) -> Column:
     """The shown text of a page, its pieces stripped and joined by spaces; comments don't count. Null stays null."""
 

@@ -49,7 +49,7 @@ ROW_PARTS = r"(?U),|\s-\s|\s–\s"
 
 def row_parts(row: Column) -> Column:
     """The trimmed parts of a roster row; if a comma stands before the first dash, the last part comes first."""
-    parts = F.transform(F.split(row, ROW_PARTS), lambda p: F.trim(p))
+    parts = F.transform(F.split(row, ROW_PARTS), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))
     comma = F.instr(row, ",")
     dash = F.when(row.rlike(r"(?U)\s[-–]\s"), F.length(F.regexp_extract(row, r"(?U)^(.*?)\s[-–]\s", 1)) + 1).otherwise(0)
     turned = (comma > 0) & (dash > 0) & (comma < dash) & (F.size(parts) > 1)
@@ -59,7 +59,7 @@ def row_parts(row: Column) -> Column:
 
 def is_guest_row(row: Column) -> Column:
     """Whether a line looks like a guest: a spaced dash or more than two commas, no colon, not empty."""
-    dashed = row.contains(" - ") | row.contains(" – ")
+    dashed = row.rlike(r"(?U)\s[-–]\s")
     return (dashed | (F.size(F.split(row, ",")) > 2)) & (F.length(F.trim(row)) > 0) & ~row.contains(":")
 
 
@@ -157,6 +157,13 @@ def mapped_type(sub_type: Column, types: dict[str, str], default: str = "other")
     return F.coalesce(F.get(F.array(pairs[sub_type]), F.lit(0)), F.lit(default))
 
 
+def with_mapped_type(rows: DataFrame, sub_type: str, types: DataFrame, name: str = "type", default: str = "other") -> DataFrame:
+    """rows with the type of their sub-type by a table (sub_type, type) of any size; the default for null and unknown ones."""
+    one = types.groupBy(F.col("sub_type").alias("_s")).agg(F.min("type").alias("_t"))
+    joined = rows.join(one, F.col(sub_type) == F.col("_s"), "left")
+    return joined.withColumn(name, F.coalesce("_t", F.lit(default))).drop("_s", "_t")
+
+
 def year_of(date: Column) -> Column:
     """The last four characters of a date text."""
     return F.right(date, F.lit(4))

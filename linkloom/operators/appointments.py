@@ -13,6 +13,13 @@ from linkloom.functions.columns import computed_once
 BUCKETS = 16
 
 
+def last_wins(rows: DataFrame, key: str, value: str, order: str = "row_no") -> DataFrame:
+    """(key, value): of each non-null key the value of its last row in the order of a column; where it is missing or tied, the greatest value."""
+    place = [order] if order in rows.columns else []
+    last = F.max(F.struct(*place, value))
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(last.alias("_l")).select(key, F.col("_l")[value].alias(value))
+
+
 def nearest_names(wanted: DataFrame, known: DataFrame, least_score: int = 85) -> DataFrame:
     """(prior_company, best_org_match, best_term_match, best_org_match_score) of names that match some known name.
 
@@ -52,7 +59,7 @@ def nearest_names(wanted: DataFrame, known: DataFrame, least_score: int = 85) ->
     scored = close.withColumn("score", similarity.ratio(F.col("prior_company"), F.col("organization"))).where(F.col("score") >= least_score)
     best = scored.groupBy("prior_company").agg(F.min(F.struct((-F.col("score")).alias("s"), "organization")).alias("b"))
     named = best.select("prior_company", F.col("b.organization").alias("best_org_match"), (-F.col("b.s")).alias("best_org_match_score"))
-    terms = known.groupBy(F.col("organization").alias("best_org_match")).agg(F.max("term").alias("best_term_match"))
+    terms = last_wins(known, "organization", "term").toDF("best_org_match", "best_term_match")
     return named.join(terms, "best_org_match").select("prior_company", "best_org_match", "best_term_match", "best_org_match_score")
 
 

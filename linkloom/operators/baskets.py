@@ -45,6 +45,55 @@ def item_support(relation: DataFrame) -> DataFrame:
     )
 
 
+#: Items of one list; a larger basket is cut into blocks of about this size, and pairs of blocks are joined.
+BLOCK = 64
+
+
+def pairs_within(items: str) -> Column:
+    """One row for each pair a < b of a sorted list of distinct items."""
+    of_each = F.transform(
+        F.col(items),
+        lambda x, i: F.transform(
+            F.slice(F.col(items), i + 2, F.greatest(F.size(items) - i - 1, F.lit(0))),
+            lambda y: F.struct(x.alias("a"), y.alias("b")),
+        ),
+    )
+    return F.explode(F.flatten(of_each))
+
+
+def met_pairs(relation: DataFrame, keys: Sequence[str], item: str, kept: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """(*kept, item_i, item_j, n_ij): in how many baskets, given by the columns `keys`, both items lie, item_i < item_j.
+
+    relation has distinct rows without nulls; kept are those of `keys` by which pairs are counted separately. Baskets of the same
+    items are collapsed into one of their number, so that pairs are enumerated once per distinct basket. A basket of
+    more than two blocks is cut by the items' hash, and its blocks meet two by two, each pair under a key of its
+    own: no task holds more than two blocks of a basket.
+    """
+    keys, kept = list(keys), list(kept)
+    sizes = relation.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    sized = relation.select(*keys, F.col(item).alias("_item")).join(sizes, keys)
+    blocks = F.when(F.col("_size") > 2 * block, F.ceil(F.col("_size") / block)).otherwise(1).cast("int")
+    placed = sized.withColumn("_blocks", blocks).withColumn("_at", F.pmod(F.xxhash64("_item"), F.col("_blocks")).cast("int"))
+    lists = placed.groupBy(*keys, "_blocks", "_at").agg(F.array_sort(F.collect_list("_item")).alias("_items"))
+    small = lists.where("_blocks = 1").groupBy(*kept, "_items").agg(F.count(F.lit(1)).alias("_w"))
+    large = lists.where("_blocks > 1")
+    # the content of a large basket is told by the digests of its blocks
+    digest = F.sha2(F.to_json(F.struct("_items")), 256)
+    signed = large.select(*keys, "_blocks", F.struct("_at", digest.alias("d")).alias("_d")).groupBy(*keys, "_blocks").agg(
+        F.sha2(F.to_json(F.struct(F.array_sort(F.collect_list("_d")))), 256).alias("_sign")
+    )
+    one = F.min(F.struct(*keys)).alias("_one")
+    distinct = signed.groupBy(*kept, "_blocks", "_sign").agg(one, F.count(F.lit(1)).alias("_w")).select(F.col("_one.*"), "_w")
+    parts = large.join(distinct, keys)
+    partners = F.explode(F.sequence(F.col("_at") + 1, F.col("_blocks") - 1))
+    ahead = parts.where(F.col("_at") < F.col("_blocks") - 1).select(*keys, "_w", F.col("_items").alias("_x"), partners.alias("_at"))
+    across = ahead.join(parts.select(*keys, "_at", F.col("_items").alias("_y")), [*keys, "_at"])
+    across = across.select(*kept, "_w", F.explode("_x").alias("x"), "_y").select(*kept, "_w", "x", F.explode("_y").alias("y"))
+    across = across.select(*kept, "_w", F.struct(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).alias("_p"))
+    inside = small.select(*kept, "_w", pairs_within("_items").alias("_p")).unionByName(parts.select(*kept, "_w", pairs_within("_items").alias("_p")))
+    return inside.unionByName(across).groupBy(*kept, F.col("_p.a").alias("item_i"), F.col("_p.b").alias("item_j")).agg(F.sum("_w").alias("n_ij"))
+
+
 def pair_counts(relation: DataFrame, min_count: int = 1) -> DataFrame:
     """(item_i, item_j, n_ij): in how many baskets both items lie, of pairs in at least min_count of them.
 
@@ -52,10 +101,7 @@ def pair_counts(relation: DataFrame, min_count: int = 1) -> DataFrame:
     """
     frequent = relation.groupBy("item").count().where(F.col("count") >= min_count).select("item")
     kept = relation.join(frequent, "item", "left_semi") if min_count > 1 else relation
-    i = kept.select("basket", F.col("item").alias("item_i"))
-    j = kept.select("basket", F.col("item").alias("item_j"))
-    pairs = i.join(j, "basket").where("item_i < item_j")
-    return pairs.groupBy("item_i", "item_j").agg(F.count(F.lit(1)).alias("n_ij")).where(F.col("n_ij") >= min_count)
+    return met_pairs(kept, ["basket"], "item").where(F.col("n_ij") >= min_count)
 
 
 def _score(metric: str, min_support: float) -> Column:
@@ -91,9 +137,7 @@ def frequent_pairs(
     counted = counted.where(F.col("n_item") >= F.col("n") * F.lit(min_support)) if min_support > 0 else counted
     single = counted.select("item", "n_item", "n")
     useful = kept.join(single.select("item"), "item", "left_semi") if min_support > 0 else kept
-    i = useful.select("basket", F.col("item").alias("item_i"))
-    j = useful.select("basket", F.col("item").alias("item_j"))
-    pairs = i.join(j, "basket").where("item_i < item_j").groupBy("item_i", "item_j").agg(F.count(F.lit(1)).alias("n_ij"))
+    pairs = met_pairs(useful, ["basket"], "item")
     scored = pairs.join(single.select(F.col("item").alias("item_i"), F.col("n_item").alias("n_i"), "n"), "item_i").join(
         single.select(F.col("item").alias("item_j"), F.col("n_item").alias("n_j")), "item_j"
     )

@@ -7,22 +7,21 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.operators.baskets import met_pairs
 from linkloom.runtime import forget, written
 
 
 def shared_person_pairs(guests: DataFrame, person: str, company: str) -> DataFrame:
     """(c1, c2): pairs c1 < c2 of companies that some person was listed with, distinct."""
     rows = guests.select(F.col(person).alias("p"), F.col(company).alias("c")).where("p is not null and c is not null").distinct()
-    other = rows.select("p", F.col("c").alias("c2"))
-    return rows.withColumnRenamed("c", "c1").join(other, "p").where("c1 < c2").select("c1", "c2").distinct()
+    return met_pairs(rows, ["p"], "c").select(F.col("item_i").alias("c1"), F.col("item_j").alias("c2"))
 
 
 def set_overlap(guests: DataFrame, person: str, company: str) -> DataFrame:
     """(c1, c2, iou, intersection, union) of the sets of persons of two companies that share one."""
     rows = guests.select(F.col(person).alias("p"), F.col(company).alias("c")).where("p is not null and c is not null").distinct()
     size = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    other = rows.select("p", F.col("c").alias("c2"))
-    shared = rows.withColumnRenamed("c", "c1").join(other, "p").where("c1 < c2").groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("intersection"))
+    shared = met_pairs(rows, ["p"], "c").toDF("c1", "c2", "intersection")
     one = size.toDF("c1", "n1")
     two = size.toDF("c2", "n2")
     union = F.col("n1") + F.col("n2") - F.col("intersection")
@@ -156,5 +155,4 @@ def organization_terms(sets: DataFrame, observed: DataFrame) -> DataFrame:
 def same_value_pairs(rows: DataFrame, name: str, value: str) -> DataFrame:
     """(term1, term2): pairs of names with one value, as of terms that lead to one page."""
     one = rows.select(F.col(name).alias("term1"), F.col(value).alias("v")).where("term1 is not null and v is not null").distinct()
-    two = one.withColumnRenamed("term1", "term2")
-    return one.join(two, "v").where("term1 < term2").select("term1", "term2").distinct()
+    return met_pairs(one.withColumnRenamed("term1", "c"), ["v"], "c").select(F.col("item_i").alias("term1"), F.col("item_j").alias("term2"))

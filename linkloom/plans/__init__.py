@@ -1 +1 @@
-
+"""Jobs composed of several operators."""

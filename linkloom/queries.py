@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import html, similarity, text
 from linkloom.operators import appointments, baskets, entities, graph, mergesets, packed, reconcile, rules
+from linkloom.plans import pipelines
+from linkloom.runtime import shared_folder
+from linkloom.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -80,7 +84,7 @@ _COUNTS = (
     " sup AS (SELECT item_i, item_j, n_ij, x.c AS n_i, y.c AS n_j, n FROM ij JOIN cnt x ON x.item = item_i"
     " JOIN cnt y ON y.item = item_j CROSS JOIN tot)"
 )
-#: Least support of the pair queries, that of the reference's articles.
+#: Least support of the pair queries.
 SUPPORT = 0.0002
 
 
@@ -372,16 +376,16 @@ def same_value_pairs(spark, folder):
 # --- strings, dates, packed triples ----------------------------------------------------------
 
 
-@query("SELECT doc_id, regexp_replace(text, '^((The|A|Mr|Mrs|Prof)[^ \\n]* +)+', '') AS rest FROM documents WHERE lang = 'en' AND text ~ '^[\\x20-\\x7e]+$' AND NOT regexp_matches(regexp_replace(text, '^((The|A|Mr|Mrs|Prof)[^ \\n]* +)+', ''), '^(The|A|Mr|Mrs|Prof)[^ ]*$')")
-def clean_prefix_words(spark, folder):
-    plain = table(spark, folder, "documents").where("lang = 'en'").where(F.col("text").rlike(r"^[\x20-\x7e]+\z"))
-    rest = text.without_leading_terms(F.col("text"), ["The", "A", "Mr", "Mrs", "Prof"])
-    return plain.select("doc_id", rest.alias("rest")).where("rest <> ''")
+#: White space and its opposite in SQL patterns.
+_S, _NS = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]", "[^\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
-@query()
-def clean_prefix_words_whole(spark, folder):
-    """clean_prefix_words of all texts: '' if nothing is left, null for null; it has no SQL, as white space differs there."""
+@query(
+    f"WITH r AS (SELECT doc_id, regexp_replace(text, '^((The|A|Mr|Mrs|Prof){_NS}*{_S}+)+', '') AS rest FROM documents)"
+    f" SELECT doc_id, CASE WHEN regexp_matches(rest, '^(The|A|Mr|Mrs|Prof){_NS}*$') THEN '' ELSE rest END AS rest FROM r"
+)
+def clean_prefix_words(spark, folder):
+    """All texts: '' if nothing is left, null for null."""
     rest = text.without_leading_terms(F.col("text"), ["The", "A", "Mr", "Mrs", "Prof"])
     return table(spark, folder, "documents").select("doc_id", rest.alias("rest"))
 
@@ -437,16 +441,56 @@ def two_word_filter(spark, folder):
     return table(spark, folder, "part").where(F.col("p_name").rlike(r"(?U)\w\s\w")).select("p_partkey", "p_name")
 
 
-@query("SELECT guest_id FROM guests WHERE job_title IS NOT NULL AND (contains(job_title, ' - ') OR contains(job_title, ' – ') OR len(string_split(job_title, ',')) > 2) AND trim(job_title) <> '' AND NOT contains(job_title, ':')")
+@query(f"SELECT guest_id FROM guests WHERE job_title IS NOT NULL AND (regexp_matches(job_title, '{_S}[-–]{_S}') OR len(string_split(job_title, ',')) > 2) AND trim(job_title) <> '' AND NOT contains(job_title, ':')")
 def guest_row_pattern(spark, folder):
     return table(spark, folder, "guests").where(text.is_guest_row(F.col("job_title"))).select("guest_id")
 
 
+def _name_lexicon(spark, folder) -> DataFrame:
+    """The formal names and short forms as first names, the last word of each guest's name as a last name, and titles."""
+    names = table(spark, folder, "nicknames").select(F.explode(F.array("formal", "short_form")).alias("term"), F.lit("first").alias("kind"))
+    last = table(spark, folder, "guests").select(text.last_segment(F.col("full_name"), " ").alias("term"), F.lit("last").alias("kind"))
+    titles = spark.createDataFrame([("Dr.", "title"), ("Prof.", "title")], "term string, kind string")
+    return names.unionByName(last).unionByName(titles).where("term <> ''").distinct()
+
+
+def _guest_line() -> Column:
+    return F.concat_ws(" - ", "full_name", "job_title", "company")
+
+
 @query()
 def guest_rows(spark, folder):
-    lines = table(spark, folder, "guests").select("guest_id", F.concat_ws(" - ", "full_name", "job_title", "company").alias("line"))
-    nick = table(spark, folder, "nicknames").select("formal").distinct().orderBy("formal").limit(100).collect()  # a short fixed list
-    return text.guest_rows(lines, "line", [r[0] for r in nick], [], ["Dr.", "Prof."], ["משרד"], ["לוביסט"])
+    lines = table(spark, folder, "guests").select("guest_id", _guest_line().alias("line"))
+    return pipelines.parsed_guests(lines, "line", _name_lexicon(spark, folder), ["משרד"], ["לוביסט"])
+
+
+def _protocols(spark, folder) -> DataFrame:
+    """Protocols with one row per heading: the guests of each meeting, and a closing."""
+    guests = table(spark, folder, "guests").where("meeting_id is not null").select("meeting_id", F.struct("guest_id", _guest_line().alias("line")).alias("g"))
+    blocks = guests.groupBy("meeting_id").agg(F.array_join(F.array_sort(F.collect_list("g"))["line"], "\n").alias("block"))
+    heads = F.array(F.struct(F.when(F.col("meeting_id").endswith("1"), ":מוזמנים").otherwise("מוזמנים:").alias("header"), F.col("block")), F.struct(F.lit("סיום").alias("header"), F.lit("a - b, c").alias("block")))
+    return blocks.select("meeting_id", F.explode(heads).alias("h")).select("meeting_id", "h.header", "h.block")
+
+
+_DASHED = f"regexp_matches(line, '{_S}[-–]{_S}') OR len(string_split(line, ',')) > 2"
+
+
+@query(
+    f"WITH b AS (SELECT meeting_id, string_agg(concat_ws(' - ', full_name, job_title, company), chr(10) ORDER BY guest_id) AS block FROM guests WHERE meeting_id IS NOT NULL GROUP BY 1),"
+    " l AS (SELECT meeting_id, unnest(string_split(block, chr(10))) AS line FROM b)"
+    " SELECT l.meeting_id, line, committee_id, replace(title, ',', '') AS meeting_title, right(meeting_date, 4) AS year FROM l LEFT JOIN committee_meetings m ON m.id::VARCHAR = l.meeting_id"
+    f" WHERE ({_DASHED}) AND trim(line) <> '' AND NOT contains(line, ':')"
+)
+def meeting_guest_lines(spark, folder):
+    lines = pipelines.guest_lines(_protocols(spark, folder), "meeting_id", "header", "block")
+    info = pipelines.meeting_info(table(spark, folder, "committee_meetings"))
+    return lines.join(info, "meeting_id", "left").select("meeting_id", "line", "committee_id", "meeting_title", "year")
+
+
+@query()
+def extracted_guests(spark, folder):
+    """Guests of all protocols with their meetings."""
+    return pipelines.extracted_guests(_protocols(spark, folder), "meeting_id", "header", "block", table(spark, folder, "committee_meetings"), _name_lexicon(spark, folder), ["משרד"], ["לוביסט"])
 
 
 @query("SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE kind = 'protocol') WHERE line LIKE '% - %' AND NOT contains(line, ':') AND trim(line) <> ''")
@@ -483,41 +527,30 @@ def id_reconciliation(spark, folder):
     return reconcile.set_comparison(a, b, "id")
 
 
+_WORDS = "list_distinct(list_filter(regexp_split_to_array({c}, '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> ''))"
+
+
 @query(
-    "WITH t AS (SELECT organization AS term, count(*) AS positive_count FROM article_baskets WHERE regexp_matches(organization, '^[A-Za-z]+$') GROUP BY 1),"
-    " c AS (SELECT term, sum((length(s_name) - length(replace(s_name, term, ''))) / length(term)) AS k FROM t, (SELECT organization AS s_name FROM article_baskets WHERE organization IS NOT NULL) WHERE"
-    " list_contains(regexp_split_to_array(s_name, '[^A-Za-z]+'), term) AND regexp_matches(s_name, '^[ -~]+$') GROUP BY 1)"
-    " SELECT term, positive_count::BIGINT AS positive_count, coalesce(k, 0)::BIGINT AS total_count, round(positive_count::DOUBLE / nullif(coalesce(k, 0), 0), 6) AS discovery_ratio FROM t LEFT JOIN c USING (term)"
+    f"WITH x AS (SELECT organization AS s, count(*) AS many FROM article_baskets WHERE organization IS NOT NULL GROUP BY 1), w AS (SELECT s, many, {_WORDS.format(c='s')} AS l FROM x),"
+    " c AS (SELECT t.s AS term, sum((length(o.s) - length(replace(o.s, t.s, ''))) // length(t.s) * o.many) AS k FROM w t JOIN w o ON list_has_all(o.l, t.l) WHERE len(t.l) > 0 GROUP BY 1)"
+    " SELECT x.s AS term, many::BIGINT AS positive_count, coalesce(k, 0)::BIGINT AS total_count, round(many::DOUBLE / nullif(coalesce(k, 0), 0), 6) AS discovery_ratio FROM x LEFT JOIN c ON c.term = x.s"
 )
 def discovery_ratio(spark, folder):
-    mentions = table(spark, folder, "article_baskets").where("organization is not null")
-    terms = mentions.where(F.col("organization").rlike(r"^[A-Za-z]+\z")).groupBy(F.col("organization").alias("term")).agg(F.count(F.lit(1)).alias("positive_count"))
-    plain = mentions.where(F.col("organization").rlike(r"^[ -~]+\z"))
-    return rounded(reconcile.discovery_ratio(plain, "organization", terms), "discovery_ratio")
-
-
-@query()
-def discovery_ratio_whole(spark, folder):
-    """discovery_ratio of all spellings in all rows; it has no SQL, as word characters differ there."""
+    """All spellings in all rows."""
     mentions = table(spark, folder, "article_baskets").where("organization is not null")
     terms = mentions.groupBy(F.col("organization").alias("term")).agg(F.count(F.lit(1)).alias("positive_count"))
     return rounded(reconcile.discovery_ratio(mentions, "organization", terms), "discovery_ratio")
 
 
+_PADDED = "' ' || trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g')) || ' '"
+
+
 @query(
-    "SELECT DISTINCT o.organization, c.article FROM (SELECT DISTINCT name AS organization, ' ' || lower(name) || ' ' AS p FROM entity_database WHERE regexp_matches(name, '^[A-Za-z .]+$')) o"
-    " JOIN (SELECT doc_id AS article, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS body FROM documents WHERE regexp_matches(text, '^[\\x01-\\x7e]+$')) c"
-    " ON contains(c.body, ' ' || trim(regexp_replace(o.p, '[^a-z0-9]+', ' ', 'g')) || ' ')"
+    f"WITH n AS (SELECT DISTINCT name AS organization, {_PADDED.format(c='name')} AS p FROM entity_database WHERE name IS NOT NULL), d AS (SELECT doc_id AS article, {_PADDED.format(c='text')} AS body FROM documents WHERE text IS NOT NULL)"
+    " SELECT DISTINCT organization, article FROM n JOIN d ON contains(body, p) WHERE trim(p) <> ''"
 )
 def gazetteer_mentions(spark, folder):
-    names = table(spark, folder, "entity_database").where(F.col("name").rlike(r"^[A-Za-z .]+\z")).select("name")
-    plain = table(spark, folder, "documents").where(F.col("text").rlike(r"^[\x01-\x7e]+\z"))
-    return reconcile.gazetteer_mentions(plain, "doc_id", "text", names)
-
-
-@query()
-def gazetteer_mentions_whole(spark, folder):
-    """gazetteer_mentions of all names in all texts; it has no SQL, as word characters differ there."""
+    """All names in all texts."""
     names = table(spark, folder, "entity_database").select("name")
     return reconcile.gazetteer_mentions(table(spark, folder, "documents"), "doc_id", "text", names)
 
@@ -572,19 +605,11 @@ def first_spelling(spark, folder):
 
 
 @query(
-    "SELECT DISTINCT m.org_name, e.id FROM (SELECT DISTINCT org_name FROM org_entity_matches WHERE regexp_matches(org_name, '^[A-Za-z ]+$') AND trim(org_name) <> '') m JOIN"
-    " (SELECT id, lower(name) AS n, lower(name_eng) AS g FROM entity_database) e ON"
-    " contains(' ' || trim(regexp_replace(e.n, '[^a-z]+', ' ', 'g')) || ' ', ' ' || trim(regexp_replace(lower(m.org_name), ' +', ' ', 'g')) || ' ') OR"
-    " contains(' ' || trim(regexp_replace(e.g, '[^a-z]+', ' ', 'g')) || ' ', ' ' || trim(regexp_replace(lower(m.org_name), ' +', ' ', 'g')) || ' ')"
+    f"WITH m AS (SELECT DISTINCT org_name, {_PADDED.format(c='org_name')} AS p FROM org_entity_matches WHERE org_name IS NOT NULL), e AS (SELECT id, {_PADDED.format(c='name')} AS n FROM entity_database WHERE name IS NOT NULL"
+    f" UNION SELECT id, {_PADDED.format(c='name_eng')} FROM entity_database WHERE name_eng IS NOT NULL) SELECT DISTINCT org_name, id FROM m JOIN e ON contains(n, p) WHERE trim(p) <> ''"
 )
 def containing_entities(spark, folder):
-    typed = table(spark, folder, "org_entity_matches").where(F.col("org_name").rlike(r"^[A-Za-z ]+\z"))
-    return entities.containing_entities(typed, table(spark, folder, "entity_database")).select("org_name", "id").distinct()
-
-
-@query()
-def containing_entities_whole(spark, folder):
-    """containing_entities of all typed names; it has no SQL, as word characters differ there."""
+    """All typed names."""
     typed = table(spark, folder, "org_entity_matches")
     return entities.containing_entities(typed, table(spark, folder, "entity_database")).select("org_name", "id").distinct()
 
@@ -614,29 +639,37 @@ def mapped_types(spark, folder):
 # --- similarity and careers ------------------------------------------------------------------
 
 
-def _part_pairs(spark, folder) -> DataFrame:
-    names = table(spark, folder, "part").select(F.col("p_name").alias("a")).distinct()
+def _part_pairs(spark, folder, least) -> DataFrame:
+    """All pairs of part names that may have a ratio of at least `least`: all that share a letter and pass the bound of common characters."""
+    names = table(spark, folder, "part").select(F.col("p_name").alias("a")).where("a <> ''").distinct()
     characters = names.withColumn("ca", similarity.numbered_characters(F.col("a")))
-    first = characters.withColumn("w", F.explode(F.split("a", " ")))
-    second = first.toDF("b", "cb", "w")
-    return first.join(second, "w").where("a < b").select("a", "b", "ca", "cb").distinct()
+    sized = characters.withColumn("n", F.size("ca"))
+    # M matching characters of n + m are at least the share, so that they are in all but n - M of the rarest of each
+    often = sized.select(F.explode("ca").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("often"))
+    ranked = sized.select("a", "n", F.explode("ca").alias("c")).join(often, "c").groupBy("a", "n").agg(F.array_sort(F.collect_list(F.struct("often", "c"))).alias("s"))
+    # the other text has at least n t / (2 - t) characters, t the share, so that M is at least n t / (2 - t)
+    share = (least - 0.5) / 100
+    prefix = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(share / (2 - share)) - 1e-9) + 1).cast("int"))
+    first = ranked.select("a", F.explode(prefix).alias("p")).select("a", "p.c")
+    met = first.join(first.toDF("b", "c"), "c").where("a < b").select("a", "b").distinct()
+    return met.join(characters, "a").join(characters.toDF("b", "cb"), "b").where(similarity.may_reach(F.col("ca"), F.col("cb"), least))
 
 
 @query()
 def fuzzy_ratio(spark, folder):
-    pairs = _part_pairs(spark, folder).where(similarity.may_reach(F.col("ca"), F.col("cb"), 60))
+    pairs = _part_pairs(spark, folder, 60)
     return pairs.select("a", "b", similarity.ratio(F.col("a"), F.col("b")).alias("fratio")).where("fratio >= 60")
 
 
 @query()
 def fuzzy_token_sort(spark, folder):
-    pairs = _part_pairs(spark, folder)
+    pairs = _part_pairs(spark, folder, 50)
     return pairs.select("a", "b", similarity.token_sort(F.col("a"), F.col("b")).alias("score"))
 
 
 @query()
 def fuzzy_four_scores(spark, folder):
-    pairs = _part_pairs(spark, folder)
+    pairs = _part_pairs(spark, folder, 50)
     return pairs.select("a", "b", similarity.four_scores(F.col("a"), F.col("b")).alias("s")).select("a", "b", "s.*")
 
 
@@ -733,23 +766,6 @@ def cluster_subgraph(spark, folder):
 # --- pages -----------------------------------------------------------------------------------
 
 
-def _pages(spark, folder) -> DataFrame:
-    """Guests' references as pages."""
-    page = F.concat(F.lit("<html><head><title>x</title></head><body><!-- c --><p>"), F.col("job_title"), F.lit('</p><script>y</script><a href="'), F.col("reference_link"), F.lit('">z</a></body></html>'))
-    plain = table(spark, folder, "guests").where(F.col("job_title").rlike(r"^[A-Za-z][A-Za-z ]*[A-Za-z]\z") & F.col("reference_link").isNotNull())
-    return plain.select("guest_id", page.alias("html"))
-
-
-@query("SELECT guest_id, job_title || ' z' AS shown FROM guests WHERE regexp_matches(job_title, '^[A-Za-z][A-Za-z ]*[A-Za-z]$') AND reference_link IS NOT NULL")
-def html_visible_text(spark, folder):
-    return _pages(spark, folder).select("guest_id", html.visible_text(F.col("html")).alias("shown"))
-
-
-@query("SELECT guest_id, reference_link AS link FROM guests WHERE regexp_matches(job_title, '^[A-Za-z][A-Za-z ]*[A-Za-z]$') AND reference_link IS NOT NULL AND contains(reference_link, 'http')")
-def html_links(spark, folder):
-    return _pages(spark, folder).select("guest_id", F.explode(html.matching_links(F.col("html"), "http")).alias("link"))
-
-
 def _escaped(text_: Column) -> Column:
     for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text_ = F.replace(text_, F.lit(mark), F.lit(entity))
@@ -764,11 +780,340 @@ def _all_pages(spark, folder) -> DataFrame:
     return table(spark, folder, "guests").select("guest_id", page.alias("html"))
 
 
-@query()
-def html_visible_text_whole(spark, folder):
+@query(
+    f"SELECT guest_id, trim(regexp_replace(coalesce(job_title, ''), '^{_S}+|{_S}+$', '', 'g') || ' z') AS shown FROM guests"
+)
+def html_visible_text(spark, folder):
     return _all_pages(spark, folder).select("guest_id", html.visible_text(F.col("html")).alias("shown"))
 
 
-@query()
-def html_links_whole(spark, folder):
+@query("SELECT guest_id, reference_link AS link FROM guests WHERE contains(reference_link, 'http')")
+def html_links(spark, folder):
     return _all_pages(spark, folder).select("guest_id", F.explode(html.matching_links(F.col("html"), "http")).alias("link"))
+
+
+# --- merging by rounds, the map of interests ---------------------------------------------------
+
+_SHARED = (
+    "u AS (SELECT DISTINCT full_name AS p, company AS c FROM {rows} WHERE full_name IS NOT NULL AND company IS NOT NULL), z AS (SELECT c, count(*) AS n FROM u GROUP BY 1),"
+    " o AS (SELECT a.c AS c1, b.c AS c2, count(*) AS i FROM u a JOIN u b ON a.p = b.p AND a.c < b.c GROUP BY 1, 2),"
+    " s AS (SELECT c1, c2, i::DOUBLE / (x.n + y.n - i) AS iou, i AS intersection, x.n + y.n - i AS un FROM o JOIN z x ON x.c = c1 JOIN z y ON y.c = c2)"
+)
+_INDICATIVE = "g AS (SELECT * FROM guests WHERE full_name IS NULL OR full_name IN (SELECT full_name FROM guests WHERE full_name IS NOT NULL GROUP BY 1 HAVING count(DISTINCT company) <= 5))"
+
+
+@query()
+def candidate_scores(spark, folder):
+    return pipelines.candidate_scores(table(spark, folder, "guests"), "full_name", "company")
+
+
+@query(f"WITH {_INDICATIVE}, {_SHARED.format(rows='g')} SELECT c1, c2, round(iou, 6) AS iou, intersection::BIGINT AS intersection, un::BIGINT AS \"union\" FROM s")
+def indicative_overlaps(spark, folder):
+    """candidate_scores of a later round, without the scores of strings."""
+    used = mergesets.indicative_persons(table(spark, folder, "guests"), "full_name", "company").where("is_indicative_name")
+    return rounded(mergesets.set_overlap(used, "full_name", "company"), "iou")
+
+
+@query(
+    f"WITH RECURSIVE {_SHARED.format(rows='guests')}, m AS (SELECT c1, c2 FROM s WHERE (iou >= 0.1 AND intersection >= 2) OR (iou >= 0.05 AND intersection >= 3)),"
+    " e AS (SELECT c1 AS a, c2 AS b FROM m UNION SELECT c2, c1 FROM m), r AS (SELECT a AS t, a AS other FROM e UNION SELECT r.t, e.b FROM r JOIN e ON e.a = r.other),"
+    " n AS (SELECT company, count(*) AS n FROM guests WHERE company IS NOT NULL GROUP BY 1), best AS (SELECT t, arg_min(other, (-n.n, other)) AS term FROM r JOIN n ON n.company = other GROUP BY 1)"
+    " SELECT guest_id, coalesce(term, company) AS company FROM guests LEFT JOIN best ON t = company"
+)
+def merge_round(spark, folder):
+    """One round of merging: candidates by overlap, their components, and the commonest name of each."""
+    guests = table(spark, folder, "guests")
+    overlap = mergesets.set_overlap(guests, "full_name", "company").where(mergesets.CONDITIONS["overlap"]())
+    return pipelines.merge_round(guests, "company", overlap.select("c1", "c2")).select("guest_id", "company")
+
+
+@query()
+def merged_by_rounds(spark, folder):
+    """Three rounds, by the ratio of the names, by the overlap, and by both."""
+    rounds = [mergesets.CONDITIONS[c]() for c in ("ratio", "overlap", "both")]
+    return pipelines.merged_by_rounds(table(spark, folder, "guests").select("guest_id", "full_name", "company"), "full_name", "company", rounds)
+
+
+def _interests(spark, folder) -> tuple[DataFrame, DataFrame]:
+    sources = {
+        "meetings": (table(spark, folder, "guests"), "meeting_id", "company", 0.0008),
+        "articles": (table(spark, folder, "article_baskets"), "article", "organization", 0.0002),
+    }
+    register = table(spark, folder, "entity_database").where("name is not null")
+    kinds = register.select(F.col("name").alias("item"), text.mapped_type(F.col("type"), TYPES).alias("sector"))
+    return pipelines.interests_map(sources, "pmi", kinds.groupBy("item").agg(F.min("sector").alias("sector")))
+
+
+def _source_sql(table_: str, basket: str, item: str, support: float, name: str) -> str:
+    return (
+        f"{name} AS (WITH rel AS (SELECT DISTINCT {basket} AS basket, {item} AS item FROM {table_} WHERE {basket} IS NOT NULL AND {item} IS NOT NULL), tot AS (SELECT count(DISTINCT basket) AS n FROM rel),"
+        f" cnt AS (SELECT item, count(*) AS c FROM rel GROUP BY 1), ij AS (SELECT a.item AS item_i, b.item AS item_j, count(*) AS n_ij FROM rel a JOIN rel b ON a.basket = b.basket AND a.item < b.item GROUP BY 1, 2),"
+        f" sc AS (SELECT item_i, item_j, ln(n_ij::DOUBLE * n / (x.c::DOUBLE * y.c)) AS score FROM ij JOIN cnt x ON x.item = item_i JOIN cnt y ON y.item = item_j CROSS JOIN tot WHERE n_ij >= n * {support})"
+        " SELECT item_i, item_j, score / max(score) OVER () AS score FROM sc)"
+    )
+
+
+_MAP = (
+    f"WITH {_source_sql('guests', 'meeting_id', 'company', 0.0008, 'p')}, {_source_sql('article_baskets', 'article', 'organization', 0.0002, 'q')},"
+    " k AS (SELECT name AS item, min(CASE WHEN type IN ('municipality','local_council','ministry','statutory_authority','municipal','government') THEN 'government'"
+    " WHEN type IN ('private_company','public_company','foreign_company','nonprofit_association','water_corporation','higher_education') THEN 'company' ELSE 'other' END) AS sector FROM entity_database GROUP BY 1),"
+    " m AS (SELECT item_i, item_j, max(score) AS score FROM (FROM p UNION ALL FROM q) WHERE score > 0 GROUP BY 1, 2)"
+)
+
+
+@query(
+    _MAP + " SELECT item_i, item_j, round(score, 6) AS weight, CASE WHEN (x.sector = 'government' AND y.sector = 'company') OR (x.sector = 'company' AND y.sector = 'government') THEN 1.0 ELSE 0.4 END::DOUBLE AS types"
+    " FROM m LEFT JOIN k x ON x.item = item_i LEFT JOIN k y ON y.item = item_j"
+)
+def interests_map_edges(spark, folder):
+    """The map of interests of meetings and articles: its edges."""
+    return rounded(_interests(spark, folder)[1], "weight")
+
+
+@query(
+    _MAP + ", i AS (SELECT item_i AS item FROM m UNION SELECT item_j FROM m), c AS (SELECT item, count(DISTINCT b) AS n FROM (SELECT company AS item, 'm' || meeting_id AS b FROM guests UNION ALL SELECT organization, 'a' || article FROM article_baskets) WHERE b IS NOT NULL GROUP BY 1)"
+    " SELECT i.item, coalesce(sector, 'other') AS sector, CASE coalesce(sector, 'other') WHEN 'government' THEN 0 WHEN 'company' THEN 1 ELSE 2 END AS sector_num, round(2 * ln(n), 6) AS log_count FROM i LEFT JOIN c USING (item) LEFT JOIN k USING (item)"
+)
+def interests_map_nodes(spark, folder):
+    return rounded(_interests(spark, folder)[0], "log_count")
+
+
+# --- smaller operators over whole tables -------------------------------------------------------
+
+
+@query(f"SELECT DISTINCT company AS item FROM guests WHERE company IS NOT NULL AND job_title = 'מנהל אגף' UNION SELECT DISTINCT raw_company FROM guests WHERE raw_company IS NOT NULL AND job_title = 'מנהל אגף'")
+def names_of_type(spark, folder):
+    rows = table(spark, folder, "guests").withColumnRenamed("job_title", "type")
+    return rules.names_of_type(rows, "מנהל אגף", ("company", "raw_company"))
+
+
+@query(f"WITH {_SHARED.format(rows='guests')}, d AS (SELECT c, sum(iou) AS degree FROM (SELECT c1 AS c, iou FROM s UNION ALL SELECT c2, iou FROM s) GROUP BY 1), t AS (SELECT type AS set_id, name AS member FROM entity_database WHERE name IS NOT NULL)"
+       " SELECT set_id, arg_min(member, (-round(coalesce(degree, 0), 6), member)) AS term FROM t LEFT JOIN d ON c = member GROUP BY 1")
+def most_similar_member(spark, folder):
+    scores = mergesets.set_overlap(table(spark, folder, "guests"), "full_name", "company").select(F.col("c1").alias("a"), F.col("c2").alias("b"), F.col("iou").alias("score"))
+    sets = table(spark, folder, "entity_database").where("name is not null").select(F.col("type").alias("set_id"), F.col("name").alias("member"))
+    return mergesets.most_similar_member(sets, scores)
+
+
+@query(f"WITH {_RELATION}, {_COUNTS}, t AS (SELECT item, first_value(item) OVER (PARTITION BY split_part(item, ' ', -1) ORDER BY c DESC, item) AS term FROM cnt),"
+       " x AS (SELECT least(a.term, b.term) AS item_i, greatest(a.term, b.term) AS item_j, n_ij FROM ij JOIN t a ON a.item = item_i JOIN t b ON b.item = item_j WHERE a.term <> b.term)"
+       " SELECT item_i, item_j, sum(n_ij)::BIGINT AS n FROM x GROUP BY 1, 2")
+def pair_rollup(spark, folder):
+    relation = baskets.basket_relation(_parts(spark, folder), "l_orderkey", "p_name")
+    counts = baskets.item_support(relation).select(F.col("item").alias("name"), F.col("n_item").alias("n"))
+    sets = counts.select(F.col("name").alias("member"), text.last_segment(F.col("name"), " ").alias("set_id"))
+    pairs = baskets.pair_counts(relation).withColumnRenamed("n_ij", "n")
+    return mergesets.rolled_up_pairs(pairs, sets, mergesets.commonest_member(sets, counts))
+
+
+@query(f"WITH x AS (SELECT organization AS s, count(*) AS n FROM article_baskets WHERE organization IS NOT NULL GROUP BY 1) SELECT s AS term, n::BIGINT AS positive_count FROM x WHERE n > 10")
+def valid_terms(spark, folder):
+    mentions = table(spark, folder, "article_baskets").where("organization is not null").groupBy(F.col("organization").alias("term")).agg(F.count(F.lit(1)).alias("positive_count"))
+    return reconcile.valid_terms(mentions.withColumn("discovery_ratio", F.lit(1.0))).select("term", "positive_count")
+
+
+@query("SELECT entity_name, arg_max(org_name, (match_id, org_name)) AS org_name FROM org_entity_matches WHERE entity_name IS NOT NULL AND org_name IS NOT NULL GROUP BY 1")
+def last_wins(spark, folder):
+    rows = table(spark, folder, "org_entity_matches").where("org_name is not null")
+    return appointments.last_wins(rows, "entity_name", "org_name", "match_id")
+
+
+@query("SELECT doc_id, unnest(CASE WHEN text IS NULL OR text = '' THEN [NULL] ELSE string_split(text, chr(10)) END) AS line FROM documents")
+def exploded_outer(spark, folder):
+    lines = table(spark, folder, "documents").select("doc_id", F.when(F.col("text") != "", F.split("text", "\n")).alias("lines"))
+    return text.exploded(lines, "lines", "line", outer=True)
+
+
+@query("SELECT id, regexp_replace(CASE WHEN starts_with(lower(trim(name_eng)), 'ministry') THEN lower(trim(name_eng)) || ' (israel)' ELSE lower(trim(name_eng)) END, '^the ', '') AS title FROM entity_database")
+def looked_up_title(spark, folder):
+    return table(spark, folder, "entity_database").select("id", text.looked_up_title(F.col("name_eng"), "israel").alias("title"))
+
+
+@query("SELECT m.org_name, e.type AS category FROM (SELECT DISTINCT org_name FROM org_entity_matches) m LEFT JOIN (SELECT DISTINCT lower(name_eng) AS t, type FROM entity_database WHERE name_eng IS NOT NULL) e"
+       " ON t = regexp_replace(CASE WHEN starts_with(lower(trim(org_name)), 'ministry') THEN lower(trim(org_name)) || ' (israel)' ELSE lower(trim(org_name)) END, '^the ', '')")
+def looked_up_categories(spark, folder):
+    pages = table(spark, folder, "entity_database").select(F.col("name_eng").alias("title"), F.col("type").alias("category"))
+    return pipelines.looked_up(table(spark, folder, "org_entity_matches").select("org_name").distinct(), "org_name", "israel", pages)
+
+
+@query("SELECT org_name AS name, arg_min(entity_name, (match_id, entity_name)) AS official_name FROM org_entity_matches WHERE org_name IS NOT NULL AND entity_name IS NOT NULL GROUP BY 1")
+def official_names(spark, folder):
+    rows = table(spark, folder, "org_entity_matches").where("org_name is not null")
+    found = rows.select(F.col("org_name").alias("name"), F.col("entity_name").alias("official_name"), F.col("match_id").alias("rank"))
+    return pipelines.official_names(rows, "org_name", found)
+
+
+@query("SELECT guest_id, list_transform(string_split(company, ' '), lambda t: trim(t, '\"')) AS tokens FROM guests WHERE company IS NOT NULL")
+def token_quotes(spark, folder):
+    rows = table(spark, folder, "guests").where("company is not null")
+    return rows.select("guest_id", F.split(text.without_token_quotes(F.col("company")), " ").alias("tokens"))
+
+
+@query(f"WITH l AS (SELECT guest_id, concat_ws(' - ', full_name, job_title, company) AS s FROM guests), p AS (SELECT guest_id, s, list_transform(regexp_split_to_array(s, ',|{_S}[-–]{_S}'), lambda x: trim(x)) AS p, position(',' IN s) AS c, length(regexp_extract(s, '^((.|\\n)*?){_S}[-–]{_S}', 1)) + 1 AS d FROM l)"
+       f" SELECT guest_id, CASE WHEN c > 0 AND regexp_matches(s, '{_S}[-–]{_S}') AND c < d AND len(p) > 1 THEN list_concat([p[-1]], p[1:-2]) ELSE p END AS parts FROM p")
+def row_parts(spark, folder):
+    lines = table(spark, folder, "guests").select("guest_id", _guest_line().alias("s"))
+    return lines.select("guest_id", text.row_parts(F.col("s")).alias("parts"))
+
+
+@query("SELECT guest_id, regexp_extract('https://archive.example/2004/' || reference_link || '.html?x', '(http.*html)', 1) AS url FROM guests WHERE reference_link IS NOT NULL")
+def inner_urls(spark, folder):
+    rows = table(spark, folder, "guests").where("reference_link is not null")
+    return rows.select("guest_id", html.inner_url(F.concat(F.lit("https://archive.example/2004/"), F.col("reference_link"), F.lit(".html?x"))).alias("url"))
+
+
+@query("SELECT guest_id, reference_link AS link, job_title AS shown FROM guests WHERE reference_link IS NOT NULL AND job_title <> ''")
+def html_selected(spark, folder):
+    rows = table(spark, folder, "guests").where("reference_link is not null and job_title <> ''")
+    page = F.concat(F.lit('<select><input id="a" value="no"><input id="b" value="'), _escaped(F.col("reference_link")), F.lit('"></select><p class="y">n</p><p class="x y">'), _escaped(F.col("job_title")), F.lit("</p>"))
+    return rows.select("guest_id", html.selected(page, "input", {"id": "b"}, "value").alias("link"), html.selected(page, "p", {"class": "x"}).alias("shown"))
+
+
+@query(
+    _pairs_sql(f"ln({_LIFT})") + f", c AS (SELECT DISTINCT p_name AS item, {_SECTOR} AS sector FROM part), i AS (SELECT item_i AS item FROM s WHERE score > 0 UNION SELECT item_j FROM s WHERE score > 0)"
+    " SELECT item, sector, CASE sector WHEN 'government' THEN 0 WHEN 'company' THEN 1 ELSE 2 END AS sector_num, round(2 * ln(cnt.c), 6) AS log_count FROM i JOIN c USING (item) JOIN cnt USING (item)"
+)
+def graph_node_table(spark, folder):
+    """graph_nodes without the clusters."""
+    relation = baskets.basket_relation(_parts(spark, folder), "l_orderkey", "p_name")
+    none = spark.createDataFrame([], "item string, cluster int")
+    return rounded(graph.node_table(relation, _positive(spark, folder), _sectors(spark, folder), none).drop("cluster"), "log_count")
+
+
+# --- sources and sinks: written into the shared folder and read back ---------------------------
+
+
+def _place(spark) -> str:
+    path = f"{shared_folder(spark)}/linkloom-files-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+_GUESTS = "SELECT guest_id, full_name, company, meeting_date FROM guests"
+
+
+def _few_columns(spark, folder) -> DataFrame:
+    return table(spark, folder, "guests").select("guest_id", "full_name", "company", "meeting_date")
+
+
+@query("SELECT guest_id, nullif(full_name, '') AS full_name, nullif(company, '') AS company, meeting_date FROM guests")
+def csv_round_trip(spark, folder):
+    path = _place(spark)
+    files.write_csv(_few_columns(spark, folder), path)
+    read = files.read_csv(spark, path, "guest_id long, full_name string, company string, meeting_date string")
+    return read.withColumns({c: F.when(F.col(c) != "", F.col(c)) for c in ("full_name", "company")})
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
+def csv_of_several_files(spark, folder):
+    path = _place(spark)
+    for name, key, label in (("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name")):
+        files.write_csv(table(spark, folder, name).select(F.col(key).alias("id"), F.col(label).alias("name")), f"{path}/{name}")
+    return files.read_csv(spark, [f"{path}/customer", f"{path}/supplier"], "id long, name string")
+
+
+@query("SELECT term1, term2 FROM merge_pairs WHERE term1 <> '' AND term2 <> ''")
+def headerless_pairs(spark, folder):
+    path = _place(spark)
+    table(spark, folder, "merge_pairs").where("term1 <> '' and term2 <> ''").select("term1", "term2").write.option("escape", '"').csv(path)
+    return files.read_pairs(spark, path)
+
+
+@query("SELECT n_name, r_name AS file_stem FROM nation JOIN region ON r_regionkey = n_regionkey")
+def named_files(spark, folder):
+    path = _place(spark)
+    rows = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows.select("n_name", "r_name").repartition("r_name").write.option("header", True).partitionBy("r_name").csv(path)
+    read = files.read_named_files(spark, path, "n_name string")
+    return read.select("n_name", F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), "r_name=([^/]*)/", 1)).alias("file_stem"))
+
+
+@query("SELECT guest_id, right(meeting_date, 4)::INT AS year FROM guests WHERE meeting_date IS NOT NULL")
+def written_by_year(spark, folder):
+    path = _place(spark)
+    files.write_by_year(_few_columns(spark, folder).where("meeting_date is not null"), path, "meeting_date")
+    return spark.read.parquet(path).select("guest_id", "year")
+
+
+@query(_GUESTS)
+def written_table(spark, folder):
+    path = _place(spark)
+    files.write_table(_few_columns(spark, folder), path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT doc_id::VARCHAR AS url, coalesce(text, '') AS text FROM documents")
+def documents_log(spark, folder):
+    path = _place(spark)
+    rows = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("url"), "text")
+    for part in (0, 1):  # the log grows
+        files.append_documents(rows.where(F.pmod(F.col("url").cast("long"), F.lit(2)) == part), path, "<<END>>", "<<URL>>")
+    return files.read_documents(spark, path, "<<END>>", "<<URL>>")
+
+
+@query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def text_to_csv(spark, folder):
+    """Documents between marks converted to CSV."""
+    path = _place(spark)
+    rows = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("url"), "text")
+    files.append_documents(rows, f"{path}/log", "<<END>>", "<<URL>>")
+    files.write_csv(files.read_documents(spark, f"{path}/log", "<<END>>", "<<URL>>"), f"{path}/csv")
+    read = files.read_csv(spark, f"{path}/csv", "url string, text string")
+    return read.select(F.col("url").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query("SELECT DISTINCT trim(formal) AS term FROM nicknames UNION SELECT DISTINCT trim(short_form) FROM nicknames")
+def lexicon_file(spark, folder):
+    path = _place(spark)
+    table(spark, folder, "nicknames").select(F.explode(F.array("formal", "short_form")).alias("t")).select(F.concat(F.lit(" "), "t").alias("value")).write.text(path)
+    return files.read_lexicon(spark, path)
+
+
+@query("SELECT id, name FROM entity_database WHERE name IS NOT NULL")
+def json_file(spark, folder):
+    path = _place(spark)
+    table(spark, folder, "entity_database").where("name is not null").select("id", "name").write.json(path)
+    return files.read_json(spark, path, "id long, name string", lines=True)
+
+
+@query("SELECT DISTINCT type AS sub_type, upper(type) AS type FROM entity_database")
+def type_map_file(spark, folder):
+    path = _place(spark)
+    kinds = table(spark, folder, "entity_database").select("type").distinct()
+    pairs = F.map_from_entries(F.collect_list(F.struct("type", F.upper("type"))))  # a few types
+    kinds.agg(F.to_json(pairs).alias("value")).coalesce(1).write.text(path)
+    return files.read_type_map(spark, path)
+
+
+@query("SELECT id, coalesce(upper(type), 'other') AS mapped FROM entity_database")
+def types_by_table(spark, folder):
+    register = table(spark, folder, "entity_database").select("id", "type")
+    types = register.select(F.col("type").alias("sub_type"), F.upper("type").alias("type")).distinct()
+    return text.with_mapped_type(register, "type", types, "mapped").select("id", "mapped")
+
+
+@query("SELECT p_name AS term FROM part")
+def column_of_file(spark, folder):
+    path = _place(spark)
+    table(spark, folder, "part").select("p_partkey", F.col("p_name").alias("term")).write.option("header", True).csv(path)
+    return files.read_column(spark, path)
+
+
+@query("SELECT 'https://archive.example/' || strftime(o_orderdate, '%Y%m%d') || '/' || o_orderkey AS url FROM orders WHERE strftime(o_orderdate, '%Y%m%d') BETWEEN '19950101' AND '20041231'")
+def snapshot_urls(spark, folder):
+    index = table(spark, folder, "orders").select(F.date_format("o_orderdate", "yyyyMMdd").alias("timestamp"), F.col("o_orderkey").cast("string").alias("original"))
+    return files.snapshot_urls(index, prefix="https://archive.example/", since="19950101", till="20041231")
+
+
+@query("SELECT DISTINCT term1 FROM merge_pairs WHERE term1 IN (SELECT term2 FROM merge_pairs WHERE origin = 'manual')")
+def approved_terms(spark, folder):
+    pairs = table(spark, folder, "merge_pairs")
+    labels = pairs.select(F.col("term2").alias("term"), F.when(F.col("origin") == "manual", " Y").otherwise("n").alias("label"))
+    return files.approved(pairs.select("term1").distinct(), "term1", labels)
+
+
+@query("SELECT DISTINCT o_custkey, trim(o_orderpriority) AS priority FROM orders")
+def long_table(spark, folder):
+    sets = table(spark, folder, "orders").groupBy("o_custkey").agg(F.collect_set(F.concat(F.lit(" "), "o_orderpriority")).alias("s"))
+    return files.long_table(sets, "o_custkey", "s", "priority")

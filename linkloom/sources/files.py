@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: White space at the ends of values is part of them, and line ends within quoted values stay as they are.
+_AS_WRITTEN = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | str | None = None, header: bool = True) -> DataFrame:
     """CSV files of one or several paths or patterns, quoted fields over several lines allowed; strings without a schema."""
-    reader = spark.read.option("header", header).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
+    reader = spark.read.option("header", header).option("multiLine", True).option("encoding", "UTF-8").options(**_AS_WRITTEN)
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
@@ -20,7 +24,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_named_files(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
     """All CSV files under a folder, at any depth, with file_stem: their names without the ending."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("recursiveFileLookup", True)
+    reader = spark.read.option("header", True).option("multiLine", True).options(**_AS_WRITTEN).option("recursiveFileLookup", True)
     rows = reader.option("pathGlobFilter", "*.csv").schema(schema).csv(folder)
     return rows.withColumn("file_stem", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1))
 
@@ -33,8 +37,9 @@ def read_documents(spark: SparkSession, path: str, end_of_document: str, end_of_
     return found.select(F.trim(F.regexp_replace(F.get("p", F.lit(0)), r"^\s+|\s+$", "")).alias("url"), F.get("p", F.lit(1)).alias("text"))
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", True)
+def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None, lines: bool = False) -> DataFrame:
+    """Files of JSON, one value each, or with lines a value per line, which splits large files."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
@@ -49,11 +54,22 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("term")).where("term <> ''").distinct()
 
 
-def snapshot_urls(index: DataFrame, timestamp: str = "timestamp", original: str = "original", prefix: str = "") -> DataFrame:
-    """(url) of an archive's index: prefix, time stamp and original address."""
+def snapshot_urls(index: DataFrame, timestamp: str = "timestamp", original: str = "original", prefix: str = "", since: str | None = None, till: str | None = None) -> DataFrame:
+    """(url) of an archive's index: prefix, time stamp and original address; of time stamps from since to till, both included."""
+    if since is not None:
+        index = index.where(F.col(timestamp) >= since)
+    if till is not None:
+        index = index.where(F.col(timestamp) <= till)
     return index.select(F.concat(F.lit(prefix), F.col(timestamp), F.lit("/"), F.col(original)).alias("url"))
 
 
+def read_type_map(spark: SparkSession, path: str) -> DataFrame:
+    """(sub_type, type) of a JSON file of one object whose keys are sub-types."""
+    whole = spark.read.option("wholetext", True).text(path)
+    pairs = F.explode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("e")
+    return whole.select(pairs).select(F.col("e.key").alias("sub_type"), F.col("e.value").alias("type"))
+
+
 def approved(terms: DataFrame, term: str, labels: DataFrame) -> DataFrame:
     """The terms that a table of labels (term, label) marks with y."""
     yes = labels.where(F.lower(F.trim("label")) == "y").select(F.col("term").alias(term)).distinct()
@@ -61,7 +77,7 @@ def approved(terms: DataFrame, term: str, labels: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str, mode: str = "error") -> None:
-    rows.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    rows.write.mode(mode).option("header", True).options(**_AS_WRITTEN).csv(path)
 
 
 def write_by_year(rows: DataFrame, path: str, date: str, mode: str = "error") -> None:

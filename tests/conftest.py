@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 
 from linkloom.runtime import session
@@ -5,7 +7,7 @@ from linkloom.runtime import session
 
 @pytest.fixture(scope="session")
 def spark():
-    made = session("linkloom-tests", "4", spark__sql__shuffle__partitions="4", spark__driver__memory="4g")
+    made = session("linkloom-tests", "4", spark__sql__shuffle__partitions="4", spark__driver__memory="4g", spark__checkpoint__dir="file://" + tempfile.mkdtemp(prefix="linkloom-tests-"))
     made.sparkContext.setLogLevel("ERROR")
     yield made
     made.stop()

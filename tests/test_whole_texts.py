@@ -12,6 +12,6 @@ def test_all_texts_and_guests(spark, tmp_path, rows_of):
     spark.createDataFrame(TEXTS, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
     known = queries.queries()
     shown = [(k, f"{(title or '').strip()} z".strip()) for k, title, _ in GUESTS]
-    assert rows_of(known["html_visible_text_whole"](spark, folder)) == shown
-    assert rows_of(known["html_links_whole"](spark, folder)) == [(k, link) for k, _, link in GUESTS if link and "http" in link]
-    assert rows_of(known["clean_prefix_words_whole"](spark, folder)) == [(1, "איש בא"), (2, "X\nרץ"), (3, None), (4, ""), (5, "עם The")]
+    assert rows_of(known["html_visible_text"](spark, folder)) == shown
+    assert rows_of(known["html_links"](spark, folder)) == [(k, link) for k, _, link in GUESTS if link and "http" in link]
+    assert rows_of(known["clean_prefix_words"](spark, folder)) == [(1, "איש בא"), (2, "X\nרץ"), (3, None), (4, ""), (5, "עם The")]
