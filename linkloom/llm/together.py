@@ -1,7 +1,7 @@
 """How often pairs of items meet in one basket, and how that compares with chance.
 
-Identical item lists are collapsed into one weighted basket; pairs are enumerated once per
-distinct basket and the weights summed.
+Identical item lists, of large baskets as well, are collapsed into one weighted basket; pairs are enumerated
+once per distinct basket and the weights summed.
 """
 
 from __future__ import annotations
@@ -9,11 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.operators.baskets import BLOCK, met_pairs
 from linkloom.runtime import written
 
-#: Items of one list; a larger basket is cut into blocks of about this size, pairs of blocks are joined.
-BLOCK = 64
-
 
 def letters_and_digits(name: Column) -> Column:
     """A name reduced to its letters and digits in lower case; null if it has none."""
@@ -61,32 +59,8 @@ def items_together(
             break
         seed += 1
     placed = once.join(keyed.select("kind", "item", "id"), ["kind", "item"]).select("kind", "basket", "id")
-    sizes = placed.groupBy("kind", "basket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    large = sizes.where(F.col("size") > 2 * block).withColumn("blocks", F.ceil(F.col("size") / block))
-    large = written(large.select("kind", "basket", "blocks"))
-    if large.isEmpty():
-        small, pairs_of_blocks = placed, None
-    else:
-        small = placed.join(large, ["kind", "basket"], "left_anti")
-        cut = placed.join(large, ["kind", "basket"]).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        lists = cut.groupBy("kind", "basket", "at").agg(F.array_sort(F.collect_list("id")).alias("items"))
-        lists = written(lists)
-        other = lists.select("kind", "basket", F.col("at").alias("at2"), F.col("items").alias("items2"))
-        within = lists.select("kind", _pairs_within("items").alias("pair"))
-        across = (
-            lists.join(other, ["kind", "basket"])
-            .where("at < at2")
-            .select("kind", F.explode("items").alias("x"), "items2")
-            .select("kind", "x", F.explode("items2").alias("y"))
-            .select("kind", F.struct(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).alias("pair"))
-        )
-        pairs_of_blocks = within.unionByName(across).select("kind", "pair.a", "pair.b", F.lit(1).cast("long").alias("w"))
-    baskets = small.groupBy("kind", "basket").agg(F.array_sort(F.collect_list("id")).alias("items"))
-    collapsed = baskets.where(F.size("items") > 1).groupBy("kind", "items").agg(F.count(F.lit(1)).alias("w"))
-    pairs = collapsed.select("kind", "w", _pairs_within("items").alias("pair")).select("kind", "pair.a", "pair.b", "w")
-    if pairs_of_blocks is not None:
-        pairs = pairs.unionByName(pairs_of_blocks)
-    met = pairs.groupBy("kind", "a", "b").agg(F.sum("w").alias("n_ab")).where(F.col("n_ab") >= min_together)
+    pairs = met_pairs(placed, ["kind", "basket"], "id", ["kind"], block)
+    met = pairs.select("kind", F.col("item_i").alias("a"), F.col("item_j").alias("b"), F.col("n_ij").alias("n_ab")).where(F.col("n_ab") >= min_together)
     left = keyed.select("kind", F.col("id").alias("a"), F.col("item").alias("left"), F.col("n_item").alias("n_left"), "n")
     right = keyed.select("kind", F.col("id").alias("b"), F.col("item").alias("right"), F.col("n_item").alias("n_right"))
     scored = met.join(left, ["kind", "a"]).join(right, ["kind", "b"])
@@ -109,15 +83,3 @@ def items_together(
     return named.where(enough).withColumn(
         "conviction", F.when(F.col("n_ab") < F.col("n_a"), (1 - F.col("n_b") / F.col("n")) / rest)
     )
-
-
-def _pairs_within(items: str) -> Column:
-    """One row for each pair a < b of a sorted list of distinct ids."""
-    of_each = F.transform(
-        F.col(items),
-        lambda x, i: F.transform(
-            F.slice(F.col(items), i + 2, F.greatest(F.size(items) - i - 1, F.lit(0))),
-            lambda y: F.struct(x.alias("a"), y.alias("b")),
-        ),
-    )
-    return F.explode(F.flatten(of_each))
