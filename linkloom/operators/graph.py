@@ -6,17 +6,18 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, PowerIterationClustering
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators.mergesets import merge_sets
+from linkloom.runtime import written
 
-#: Vertices up to which clusters are found from all eigenvectors on the driver; beyond, by power iteration.
-DENSE_LIMIT = 4000
-#: Edges of one component up to which its betweenness is exact.
-EXACT_EDGES = 20_000
+#: Edges of one component up to which its betweenness comes from all vertices, within one task; a matrix of so many vertices is small.
+EXACT_EDGES = 2_000
+#: Vertices of a larger component from which the shortest paths are followed.
+SOURCES = 64
 
 
 def edge_betweenness(edges: list[tuple[int, int]], n: int) -> dict[tuple[int, int], float]:
@@ -59,16 +60,71 @@ def algebraic_connectivity(edges: list[tuple[int, int]], n: int) -> float:
     return float(np.linalg.eigvalsh(np.eye(n) - scale[:, None] * a * scale[None, :])[1]) if n > 1 else 0.0
 
 
-def bottlenecks(pairs: DataFrame, a: str, b: str, min_edges: int = 4, top: int = 100) -> DataFrame:
+def _connectivities(both: DataFrame, rounds: int = 8, steps: int = 6) -> DataFrame:
+    """(set_id, connectivity) of components (set_id, u, v, both orientations): upper bounds by power iteration, all at once."""
+    degrees = written(both.groupBy("set_id", "u").agg(F.sqrt(F.count(F.lit(1))).alias("r")))
+    to = degrees.select("set_id", F.col("u").alias("v"), F.col("r").alias("rv"))
+    scaled = both.join(degrees, ["set_id", "u"]).join(to, ["set_id", "v"]).select("set_id", "u", "v", (0.5 / (F.col("r") * F.col("rv"))).alias("w"))
+    scaled = written(scaled.unionByName(degrees.select("set_id", "u", F.col("u").alias("v"), F.lit(0.5).alias("w"))))
+    x = degrees.select("set_id", "u", (F.pmod(F.xxhash64("u"), F.lit(1 << 20)) / (1 << 19) - 1).alias("x"))
+    multiplied = lambda x: scaled.join(x.withColumnRenamed("u", "v"), ["set_id", "v"]).groupBy("set_id", "u").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+    for k in range(rounds):
+        for _ in range(steps):
+            x = multiplied(x)
+        x = written(x.join(degrees, ["set_id", "u"]))
+        sums = x.groupBy("set_id").agg((F.sum(F.col("x") * F.col("r")) / F.sum(F.col("r") * F.col("r"))).alias("p"))
+        x = x.join(sums, "set_id").select("set_id", "u", (F.col("x") - F.col("p") * F.col("r")).alias("x"))
+        size = x.groupBy("set_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("s"))
+        x = written(x.join(size, "set_id").select("set_id", "u", F.try_divide("x", "s").alias("x")))
+    met = multiplied(x).withColumnRenamed("x", "y").join(x, ["set_id", "u"])
+    return met.groupBy("set_id").agg((2 - 2 * F.sum(F.col("x") * F.col("y"))).alias("connectivity"))
+
+
+def _sampled_betweenness(both: DataFrame, sources: int) -> DataFrame:
+    """(set_id, a, b, betweenness) of components (set_id, u, v, both orientations), from `sources` vertices of each, chosen by hash.
+
+    All sources are followed at once, a level a round; rounds are as many as the longest shortest path from one.
+    """
+    vertices = both.select("set_id", "u").distinct()
+    order = Window.partitionBy("set_id").orderBy(F.xxhash64("u"), "u")
+    chosen = vertices.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sources)
+    levels = [written(chosen.select("set_id", F.col("u").alias("s"), "u", F.lit(1.0).alias("paths")))]
+    while True:
+        ahead = levels[-1].join(both, ["set_id", "u"]).groupBy("set_id", "s", F.col("v").alias("u")).agg(F.sum("paths").alias("paths"))
+        for level in levels[-2:]:  # neighbours of a level lie on it or on one next to it
+            ahead = ahead.join(level.select("set_id", "s", "u"), ["set_id", "s", "u"], "left_anti")
+        ahead = written(ahead)
+        if ahead.isEmpty():
+            break
+        levels.append(ahead)
+    shares, parts = levels[-1].withColumn("share", F.lit(0.0)), []
+    for before in reversed(levels[:-1]):
+        down = shares.join(both, ["set_id", "u"]).select("set_id", "s", F.col("u").alias("w"), F.col("v").alias("u"), F.col("paths").alias("pw"), "share")
+        part = down.join(before, ["set_id", "s", "u"]).select("set_id", "s", "u", "w", (F.col("paths") / F.col("pw") * (1 + F.col("share"))).alias("part"))
+        part = written(part)
+        parts.append(part.select("set_id", F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b"), "part"))
+        total = part.groupBy("set_id", "s", "u").agg(F.sum("part").alias("share"))
+        shares = before.join(total, ["set_id", "s", "u"], "left").fillna({"share": 0.0})
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionByName(more)
+    sizes = vertices.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
+    many = F.least("n", F.lit(sources)) * (F.col("n") - 1)
+    return whole.groupBy("set_id", "a", "b").agg(F.sum("part").alias("t")).join(sizes, "set_id").select("set_id", "a", "b", (F.col("t") / many).alias("betweenness"))
+
+
+def bottlenecks(pairs: DataFrame, a: str, b: str, min_edges: int = 4, top: int = 100, exact_edges: int = EXACT_EDGES, sources: int = SOURCES) -> DataFrame:
     """(set_id, term1, term2, betweenness, connectivity): the edge most paths go through, of each component of at least min_edges.
 
-    The components least connected come first. Components of over EXACT_EDGES edges don't fit one task; they
-    come out with a null edge, so that they are seen.
+    The components least connected come first. A component of more than exact_edges edges is treated by distributed
+    rounds: paths are followed from `sources` of its vertices, so that a betweenness is off by more than e with a
+    probability of at most 2 exp(-2 sources e^2), and its connectivity is an upper bound by power iteration. With as many
+    sources as vertices the betweenness is exact.
     """
     edges = pairs.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where("x <> y").distinct()
     placed = edges.join(merge_sets(edges, "x", "y").withColumnRenamed("member", "x"), "x")
     sized = placed.groupBy("set_id").agg(F.count(F.lit(1)).alias("n_edges")).where(F.col("n_edges") >= min_edges)
-    placed = placed.join(sized, "set_id")
+    placed = written(placed.join(sized, "set_id"))
     schema = "set_id string, term1 string, term2 string, betweenness double, connectivity double"
 
     def worst(component: pd.DataFrame) -> pd.DataFrame:
@@ -80,12 +136,15 @@ def bottlenecks(pairs: DataFrame, a: str, b: str, min_edges: int = 4, top: int =
         row = (component["set_id"].iloc[0], names[u], names[v], most, algebraic_connectivity(links, len(names)))
         return pd.DataFrame([row], columns=["set_id", "term1", "term2", "betweenness", "connectivity"])
 
-    exact = placed.where(F.col("n_edges") <= EXACT_EDGES).groupBy("set_id").applyInPandas(worst, schema)
-    none = F.lit(None)
-    large = sized.where(F.col("n_edges") > EXACT_EDGES).select(
-        F.col("set_id").cast("string"), none.cast("string").alias("term1"), none.cast("string").alias("term2"), none.cast("double").alias("betweenness"), none.cast("double").alias("connectivity")
-    )
-    return exact.unionByName(large).orderBy("connectivity", "set_id").limit(top)
+    found = placed.where(F.col("n_edges") <= exact_edges).groupBy("set_id").applyInPandas(worst, schema)
+    large = placed.where(F.col("n_edges") > exact_edges).select("set_id", "x", "y")
+    if not large.isEmpty():
+        both = written(large.select("set_id", F.col("x").alias("u"), F.col("y").alias("v")).unionByName(large.select("set_id", F.col("y").alias("u"), F.col("x").alias("v"))))
+        through = _sampled_betweenness(both, sources)
+        best = F.min(F.struct((-F.round("betweenness", 12)).alias("less"), "a", "b", "betweenness"))
+        most = through.groupBy("set_id").agg(best.alias("m")).join(_connectivities(both), "set_id")
+        found = found.unionByName(most.select("set_id", F.col("m.a").alias("term1"), F.col("m.b").alias("term2"), "m.betweenness", "connectivity"))
+    return found.orderBy("connectivity", "set_id").limit(top)
 
 
 def sector_number(sector: Column) -> Column:
@@ -126,101 +185,87 @@ def k_means(points: DataFrame, id_column: str, vector: str, k: int, iterations:
     return placed.select(id_column, "cluster", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)).alias("distance"))
 
 
-def _lloyd(x: np.ndarray, k: int, iterations: int, seed: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    centres = x[[rng.integers(len(x))]]
-    while len(centres) < min(k, len(x)):
-        d = ((x[:, None] - centres[None]) ** 2).sum(2).min(1)
-        centres = np.vstack([centres, x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[len(centres)]])
-    for _ in range(iterations):
-        labels = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
-        for c in range(len(centres)):
-            if (labels == c).any():
-                centres[c] = x[labels == c].mean(0)
-    return labels
-
-
-def spectral_labels(a: np.ndarray, k: int, iterations: int = 10, seed: int = 0) -> np.ndarray:
-    """Clusters of an affinity matrix: smallest eigenvectors of the normalised Laplacian, rows to unit length, k-means."""
-    degree = a.sum(0)
-    scale = 1 / np.sqrt(np.where(degree > 0, degree, 1))
-    laplacian = np.eye(len(a)) - scale[:, None] * a * scale[None, :]
-    vectors = np.linalg.eigh((laplacian + laplacian.T) / 2)[1][:, :k]
-    length = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return _lloyd(vectors / np.where(length > 0, length, 1), k, iterations, seed)
-
+#: Multiplications between two orthonormalisations, and how many of these.
+STEPS = 6
+ROUNDS = 5
 
-def _relabelled(names: list[str], labels: np.ndarray) -> list[tuple[str, int]]:
-    """Clusters numbered in the order of their least names."""
-    number: dict[int, int] = {}
-    return [(name, number.setdefault(int(label), len(number))) for name, label in zip(names, labels)]
 
+def leading_vectors(pairs: DataFrame, k: int, rounds: int = ROUNDS, steps: int = STEPS) -> DataFrame:
+    """(item, degree, v): rows of an orthonormal basis of about the k leading eigenvectors of the normalised affinity.
 
-def spectral_clusters(pairs: DataFrame, k: int = 20, iterations: int = 10, seed: int = 0, dense_limit: int = DENSE_LIMIT) -> DataFrame:
+    pairs: item_i, item_j, score, positive. Block power iteration on half the sum of the identity and the affinity
+    scaled by the roots of the degrees; a multiplication is a join and a sum, only k x k matrices reach the driver. The part
+    of an eigenvector left out shrinks by ((1 + b) / (1 + a)) ** (rounds * steps), a and b the k-th and the next eigenvalue.
+    k is at most the number of items.
+    """
+    both = pairs.where("score > 0").select("item_i", "item_j", "score")
+    both = both.unionByName(both.toDF("item_j", "item_i", "score")).groupBy("item_i", "item_j").agg(F.sum("score").alias("w"))
+    edges = written(both)
+    degrees = written(edges.groupBy("item_i").agg(F.sum("w").alias("degree")).toDF("item", "degree"))
+    k = max(1, min(k, degrees.count()))
+    root = lambda name: degrees.select(F.col("item").alias(name), F.sqrt("degree").alias(f"r_{name}"))
+    scaled = edges.join(root("item_i"), "item_i").join(root("item_j"), "item_j")
+    scaled = scaled.select("item_i", "item_j", (F.col("w") / (2 * F.col("r_item_i") * F.col("r_item_j"))).alias("w"))
+    loops = degrees.select(F.col("item").alias("item_i"), F.col("item").alias("item_j"), F.lit(0.5).alias("w"))
+    scaled = written(scaled.unionByName(loops))
+    start = [(F.pmod(F.xxhash64(F.lit(c), "item"), F.lit(1 << 20)) / (1 << 19) - 1).alias(f"v{c}") for c in range(k)]
+    vectors = degrees.select("item", *start)
+    names = [f"v{c}" for c in range(k)]
+    for _ in range(rounds):
+        for _ in range(steps):
+            met = scaled.join(vectors.withColumnRenamed("item", "item_j"), "item_j")
+            vectors = met.groupBy(F.col("item_i").alias("item")).agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in names])
+        vectors = written(vectors)
+        products = vectors.agg(*[F.sum(F.col(names[x]) * F.col(names[y])).alias(f"g{x}_{y}") for x in range(k) for y in range(x, k)]).collect()[0]
+        gram = np.array([[products[f"g{min(x, y)}_{max(x, y)}"] or 0.0 for y in range(k)] for x in range(k)])
+        values, turned = np.linalg.eigh(gram)
+        kept = values > values.max() * 1e-12
+        to = turned[:, kept] / np.sqrt(values[kept])
+        names = [f"v{c}" for c in range(to.shape[1])]
+        mixed = [sum((F.col(f"v{x}") * float(to[x, c]) for x in range(k)), F.lit(0.0)).alias(f"v{c}") for c in range(to.shape[1])]
+        vectors, k = vectors.select("item", *mixed), to.shape[1]
+    return written(vectors.join(degrees, "item").select("item", "degree", F.array(*names).alias("v")))
+
+
+def _grouped(points: DataFrame, k: int, iterations: int, seed: int) -> DataFrame:
+    """(item, cluster) of points (item, v) by k-means; clusters are numbered by their least items."""
+    if points.isEmpty():
+        return points.sparkSession.createDataFrame([], "item string, cluster int")
+    rows = points.repartition(8, "item").sortWithinPartitions("item").withColumn("_f", array_to_vector("v"))
+    model = KMeans(k=k, maxIter=iterations, seed=seed, featuresCol="_f", predictionCol="cluster").fit(rows) if k > 1 else None
+    placed = model.transform(rows).select("item", "cluster") if model else rows.select("item", F.lit(0).alias("cluster"))
+    placed = written(placed)
+    least = placed.groupBy("cluster").agg(F.min("item").alias("least")).orderBy("least").collect()  # k rows
+    number = F.create_map(*[F.lit(x) for n, r in enumerate(least) for x in (r["cluster"], n)])
+    return placed.select("item", number[F.col("cluster")].alias("cluster"))
+
+
+def spectral_clusters(pairs: DataFrame, k: int = 20, iterations: int = 10, seed: int = 0) -> DataFrame:
     """(item, cluster) of the items of scored pairs; clusters are numbered by their least items.
 
-    Up to dense_limit items, which are counted first, all is computed on the driver; larger graphs are clustered by
-    power iteration on the cluster, an approximation of the same.
+    Rows of the k leading vectors of the normalised affinity, brought to unit length, go through k-means, at every size the
+    same. Pairs without a positive score link nothing; an item with only such pairs doesn't come out.
     """
-    spark = pairs.sparkSession
-    items = pairs.select(F.explode(F.array("item_i", "item_j")).alias("item")).distinct()
-    schema = "item string, cluster int"
-    if items.limit(dense_limit + 1).count() > dense_limit:
-        keyed = items.withColumn("id", F.xxhash64("item"))
-        src, dst = keyed.toDF("item_i", "src"), keyed.toDF("item_j", "dst")
-        weighed = pairs.join(src, "item_i").join(dst, "item_j").select("src", "dst", F.col("score").alias("weight"))
-        found = PowerIterationClustering(k=k, maxIter=iterations, weightCol="weight").assignClusters(weighed)
-        named = keyed.join(found, "id").select("item", "cluster")
-        least = named.groupBy("cluster").agg(F.min("item").alias("least"))  # k rows
-        order = F.row_number().over(Window.orderBy("least")) - 1
-        return named.join(F.broadcast(least.withColumn("number", order)), "cluster").select("item", F.col("number").alias("cluster"))
-    rows = pairs.select("item_i", "item_j", "score").collect()
-    names = sorted({r[0] for r in rows} | {r[1] for r in rows})
-    if not names:
-        return spark.createDataFrame([], schema)
-    at = {name: n for n, name in enumerate(names)}
-    a = np.zeros((len(names), len(names)))
-    for i, j, score in rows:
-        a[at[i], at[j]] = a[at[j], at[i]] = score
-    return spark.createDataFrame(_relabelled(names, spectral_labels(a, min(k, len(names)), iterations, seed)), schema)
-
-
-def co_clusters(pairs: DataFrame, sectors: DataFrame, k: int = 19, iterations: int = 10, seed: int = 0, dense_limit: int = DENSE_LIMIT) -> DataFrame:
+    found = leading_vectors(pairs, k) if not pairs.where("score > 0").isEmpty() else None
+    if found is None:
+        return pairs.sparkSession.createDataFrame([], "item string, cluster int")
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return _grouped(found.select("item", F.transform("v", lambda x: x / length).alias("v")), k, iterations, seed)
+
+
+def co_clusters(pairs: DataFrame, sectors: DataFrame, k: int = 19, iterations: int = 10, seed: int = 0) -> DataFrame:
     """(item, cluster): governments and companies clustered together by their pairs; all other items get cluster k.
 
-    Bipartite spectral co-clustering: singular vectors of the matrix scaled by its row and column sums, then
-    k-means. Larger graphs than dense_limit items of either side go by power iteration over the bipartite pairs.
+    Bipartite spectral co-clustering: the leading vectors of the bipartite pairs hold the singular vectors of the matrix scaled
+    by its row and column sums; divided by the roots of these sums they go through k-means.
     """
-    spark = pairs.sparkSession
-    crossed = edge_table(pairs, sectors).where(F.col("types") == 1.0)
-    kind = sectors.where(F.col("sector") == "company").select(F.col("item").alias("item_i"), F.lit(True).alias("_c")).distinct()
-    marked = crossed.join(kind, "item_i", "left").select(
-        F.when(F.col("_c"), F.col("item_i")).otherwise(F.col("item_j")).alias("company"),
-        F.when(F.col("_c"), F.col("item_j")).otherwise(F.col("item_i")).alias("government"),
-        "weight",
-    )
+    crossed = edge_table(pairs, sectors).where((F.col("types") == 1.0) & (F.col("weight") > 0))
     items = pairs.select(F.explode(F.array("item_i", "item_j")).alias("item")).distinct()
-    ends = marked.select(F.explode(F.array("company", "government")).alias("item")).distinct()
-    if ends.limit(dense_limit + 1).count() > dense_limit:
-        found = spectral_clusters(marked.select(F.col("company").alias("item_i"), F.col("government").alias("item_j"), F.col("weight").alias("score")), k, iterations, seed, dense_limit)
-    else:
-        rows = marked.collect()
-        companies, governments = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
-        at_c, at_g = {c: n for n, c in enumerate(companies)}, {g: n for n, g in enumerate(governments)}
-        a = np.zeros((len(companies), len(governments)))
-        for company, government, weight in rows:
-            a[at_c[company], at_g[government]] = weight
-        labelled: list[tuple[str, int]] = []
-        if rows:
-            r, c = 1 / np.sqrt(np.maximum(a.sum(1), 1e-12)), 1 / np.sqrt(np.maximum(a.sum(0), 1e-12))
-            u, _, vt = np.linalg.svd(r[:, None] * a * c[None, :], full_matrices=False)
-            many = max(1, int(np.ceil(np.log2(max(k, 2)))))
-            z = np.vstack([r[:, None] * u[:, 1 : many + 1], c[:, None] * vt.T[:, 1 : many + 1]])
-            if z.shape[1] == 0:
-                z = np.zeros((len(companies) + len(governments), 1))
-            names = companies + governments
-            order = np.argsort(names)
-            labels = _lloyd(z, min(k, len(names)), iterations, seed)
-            labelled = _relabelled([names[n] for n in order], labels[order])
-        found = spark.createDataFrame(labelled, "item string, cluster int")
-    return items.join(found, "item", "left").select("item", F.coalesce("cluster", F.lit(k)).cast("int").alias("cluster"))
+    if crossed.isEmpty():
+        return items.select("item", F.lit(k).alias("cluster"))
+    # the first vector is the same for all items then, so that it makes no distances
+    many = 1 + max(1, int(np.ceil(np.log2(max(k, 2)))))
+    found = leading_vectors(crossed.select("item_i", "item_j", F.col("weight").alias("score")), many)
+    points = found.select("item", F.transform("v", lambda x: x / F.sqrt("degree")).alias("v"))
+    placed = _grouped(points, k, iterations, seed)
+    return items.join(placed, "item", "left").select("item", F.coalesce("cluster", F.lit(k)).cast("int").alias("cluster"))

@@ -85,13 +85,44 @@ def test_bridge_is_the_bottleneck(spark):
     assert found[0]["betweenness"] == pytest.approx(18 / 30)
 
 
+def test_large_components_are_followed_in_rounds(spark):
+    rng = np.random.default_rng(5)
+    graphs = [*TRIANGLES, *[(f"k{k}", f"k{k + 1}") for k in range(7)], *[(f"r{i}", f"r{j}") for i, j in rng.integers(0, 12, (20, 2)) if i != j]]
+    df = spark.createDataFrame(graphs, "a string, b string")
+    exact = {r["set_id"]: r for r in graph.bottlenecks(df, "a", "b").collect()}
+    rounds = {r["set_id"]: r for r in graph.bottlenecks(df, "a", "b", exact_edges=0, sources=100).collect()}
+    assert exact.keys() == rounds.keys() and len(exact) >= 3
+    for k, r in exact.items():
+        assert (r["term1"], r["term2"]) == (rounds[k]["term1"], rounds[k]["term2"])
+        assert rounds[k]["betweenness"] == pytest.approx(r["betweenness"])
+        assert r["connectivity"] - 1e-9 <= rounds[k]["connectivity"] <= r["connectivity"] + 0.02
+    few = graph.bottlenecks(df, "a", "b", exact_edges=0, sources=3).collect()
+    assert len(few) == len(exact) and all(r["term1"] is not None for r in few)
+
+
 def test_two_triangles_are_two_clusters(spark):
     pairs = spark.createDataFrame([(i, j, 0.05 if (i, j) == ("c", "x") else 1.0) for i, j in TRIANGLES], "item_i string, item_j string, score double")
     got = {r["item"]: r["cluster"] for r in graph.spectral_clusters(pairs, 2).collect()}
     assert got == {"a": 0, "b": 0, "c": 0, "x": 1, "y": 1, "z": 1}
     assert graph.spectral_clusters(pairs.where("1 = 0"), 2).count() == 0
-    large = graph.spectral_clusters(pairs, 2, dense_limit=3)
-    assert large.count() == 6 and {r["cluster"] for r in large.collect()} <= {0, 1}
+    assert graph.spectral_clusters(pairs.withColumn("score", F.lit(-1.0)), 2).count() == 0
+    assert graph.spectral_clusters(pairs.limit(1), 5).count() == 2
+
+
+def test_leading_vectors_are_those_of_the_matrix(spark):
+    rng = np.random.default_rng(3)
+    n = 24
+    a = np.zeros((n, n))
+    for i in range(n):
+        for j in range(i + 1, n):
+            a[i, j] = a[j, i] = rng.random() if i % 3 == j % 3 else 0.05 * rng.random()
+    rows = [(f"{min(i, j):02}", f"{max(i, j):02}", float(a[i, j])) for i in range(n) for j in range(i + 1, n)]
+    found = graph.leading_vectors(spark.createDataFrame(rows, "item_i string, item_j string, score double"), 3).orderBy("item").collect()
+    v = np.array([r["v"] for r in found])
+    scale = 1 / np.sqrt(a.sum(0))
+    exact = np.linalg.eigh(scale[:, None] * a * scale[None, :])[1][:, -3:]
+    assert np.allclose(v.T @ v, np.eye(3), atol=1e-6)
+    assert np.allclose(v @ v.T, exact @ exact.T, atol=1e-2)
 
 
 def test_co_clusters(spark):
