@@ -949,7 +949,7 @@ def token_quotes(spark, folder):
     return rows.select("guest_id", F.split(text.without_token_quotes(F.col("company")), " ").alias("tokens"))
 
 
-@query(f"WITH l AS (SELECT guest_id, concat_ws(' - ', full_name, job_title, company) AS s FROM guests), p AS (SELECT guest_id, s, list_transform(regexp_split_to_array(s, ',|{_S}[-–]{_S}'), lambda x: trim(x)) AS p, position(',' IN s) AS c, length(regexp_extract(s, '^((.|\\n)*?){_S}[-–]{_S}', 1)) + 1 AS d FROM l)"
+@query(f"WITH l AS (SELECT guest_id, concat_ws(' - ', full_name, job_title, company) AS s FROM guests), p AS (SELECT guest_id, s, list_transform(regexp_split_to_array(s, ',|{_S}[-–]{_S}'), lambda x: regexp_replace(x, '^{_S}+|{_S}+$', '', 'g')) AS p, position(',' IN s) AS c, length(regexp_extract(s, '^((.|\\n)*?){_S}[-–]{_S}', 1)) + 1 AS d FROM l)"
        f" SELECT guest_id, CASE WHEN c > 0 AND regexp_matches(s, '{_S}[-–]{_S}') AND c < d AND len(p) > 1 THEN list_concat([p[-1]], p[1:-2]) ELSE p END AS parts FROM p")
 def row_parts(spark, folder):
     lines = table(spark, folder, "guests").select("guest_id", _guest_line().alias("s"))
