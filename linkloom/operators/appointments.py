@@ -28,14 +28,30 @@ def nearest_names(wanted: DataFrame, known: DataFrame, least_score: int = 85) ->
     pairs that can't reach the least score before any is computed. Ties go to the least organization.
     """
     # Matching blocks of M characters with u unmatched ones between them are at most u + 1, so one
-    # has three characters if M > 2 (u + 1); shorter names, and low scores, meet at single characters.
+    # has three characters if M > 2 (u + 1); shorter names meet at what deletions leave of both, of which
+    # M characters are at least n share / (2 - share); for low scores at single characters.
     share = (least_score - 0.5) / 100
     short = 0.6 * 2 / (2.5 * share - 2) if share > 0.8 else float("inf")
+    partner = short * (2 / share - 1)  # the longest name that a short one may match
+
+    def remains(name: Column) -> Column:
+        """The name and what up to three deletions leave of it, as far as that is long enough."""
+        n = F.length(name)
+        shorter = lambda texts: F.array_distinct(
+            F.flatten(F.transform(texts, lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda k: F.concat(F.substring(t, F.lit(1), k - 1), F.substring(t, k + 1, F.length(t))))))
+        )
+        level = whole = F.array(name)
+        for gone in range(1, int(partner * (1 - share / (2 - share))) + 1):
+            level = F.when(n - gone >= n * (share / (2 - share)) - 1e-9, shorter(level)).otherwise(F.array().cast("array<string>"))
+            whole = F.concat(whole, level)
+        return F.transform(whole, lambda t: F.concat(F.lit("="), t))
 
     def pieces(name: str) -> Column:
         n = F.length(name)
         runs = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda k: F.substring(name, k, F.lit(3)))
-        return F.array_distinct(F.when(n <= short, F.concat(runs, F.split(name, ""))).otherwise(runs))
+        if share <= 0.8:
+            return F.array_distinct(F.concat(runs, F.split(name, "")))
+        return F.array_distinct(F.when(n <= partner, F.concat(runs, remains(F.col(name)))).otherwise(runs))
 
     def described(rows: DataFrame, name: str, mark: str) -> DataFrame:
         """Distinct names with their length and how many of their characters fall into each bucket."""

@@ -37,8 +37,8 @@ def test_links(spark):
 def test_nearest_names_against_brute_force(spark):
     from linkloom.functions.similarity import plain_ratio
 
-    known = ["Alpha Metals Ltd.", "Alpha Metal Ltd.", "Beta", "Betas", "Gamma Trading Company", "בטא", "ab", "a"]
-    wanted = ["Alpha Metals Ltd", "Beta", "Bet", "Gama Trading Companyy", "nothing alike", "בטאa", "ab", "", None]
+    known = ["Alpha Metals Ltd.", "Alpha Metal Ltd.", "Beta", "Betas", "Gamma Trading Company", "בטא", "ab", "a", "Sara Oz", "Carmela Barr", "Carmel Bar Co"]
+    wanted = ["Alpha Metals Ltd", "Beta", "Bet", "Gama Trading Companyy", "nothing alike", "בטאa", "ab", "", None, "Sarah Oz", "Carmelia Bar", "Bets"]
     for least in (60, 85):
         found = appointments.nearest_names(
             spark.createDataFrame([(w,) for w in wanted], "prior_company string"),
