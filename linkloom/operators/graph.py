@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,12 +12,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.operators import cuts
 from linkloom.operators.mergesets import merge_sets
 from linkloom.runtime import written
 
-#: Edges of one component up to which its betweenness comes from all vertices, within one task; a matrix of so many vertices is small.
+#: Edges of one component up to which it is a matrix of its own, and of one block up to which its paths are followed within one task.
 EXACT_EDGES = 2_000
-#: Vertices of a larger component from which the shortest paths are followed.
+#: Vertices of a larger block from which a task follows the shortest paths at once; in the end they are followed from all.
 SOURCES = 64
 
 
@@ -60,91 +62,116 @@ def algebraic_connectivity(edges: list[tuple[int, int]], n: int) -> float:
     return float(np.linalg.eigvalsh(np.eye(n) - scale[:, None] * a * scale[None, :])[1]) if n > 1 else 0.0
 
 
-def _connectivities(both: DataFrame, rounds: int = 8, steps: int = 6) -> DataFrame:
-    """(set_id, connectivity) of components (set_id, u, v, both orientations): upper bounds by power iteration, all at once."""
-    degrees = written(both.groupBy("set_id", "u").agg(F.sqrt(F.count(F.lit(1))).alias("r")))
-    to = degrees.select("set_id", F.col("u").alias("v"), F.col("r").alias("rv"))
-    scaled = both.join(degrees, ["set_id", "u"]).join(to, ["set_id", "v"]).select("set_id", "u", "v", (0.5 / (F.col("r") * F.col("rv"))).alias("w"))
-    scaled = written(scaled.unionByName(degrees.select("set_id", "u", F.col("u").alias("v"), F.lit(0.5).alias("w"))))
-    x = degrees.select("set_id", "u", (F.pmod(F.xxhash64("u"), F.lit(1 << 20)) / (1 << 19) - 1).alias("x"))
-    multiplied = lambda x: scaled.join(x.withColumnRenamed("u", "v"), ["set_id", "v"]).groupBy("set_id", "u").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-    for k in range(rounds):
-        for _ in range(steps):
-            x = multiplied(x)
-        x = written(x.join(degrees, ["set_id", "u"]))
-        sums = x.groupBy("set_id").agg((F.sum(F.col("x") * F.col("r")) / F.sum(F.col("r") * F.col("r"))).alias("p"))
-        x = x.join(sums, "set_id").select("set_id", "u", (F.col("x") - F.col("p") * F.col("r")).alias("x"))
-        size = x.groupBy("set_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("s"))
-        x = written(x.join(size, "set_id").select("set_id", "u", F.try_divide("x", "s").alias("x")))
-    met = multiplied(x).withColumnRenamed("x", "y").join(x, ["set_id", "u"])
-    return met.groupBy("set_id").agg((2 - 2 * F.sum(F.col("x") * F.col("y"))).alias("connectivity"))
+def _small_connectivities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(set_id, connectivity) of components (set_id, x, y), the rows of one behind one another."""
+
+    def of(edges: pd.DataFrame) -> pd.DataFrame:
+        rows, codes = [], pd.factorize(pd.concat([edges["x"], edges["y"]]), sort=True)[0].reshape(2, -1)
+        for name, at in edges.groupby("set_id", sort=False).indices.items():
+            ends, local = np.unique(codes[:, at], return_inverse=True)
+            rows.append((name, algebraic_connectivity(local.reshape(2, -1).T.tolist(), len(ends))))
+        return pd.DataFrame(rows, columns=["set_id", "connectivity"])
+
+    rest = None
+    for batch in batches:
+        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        open_ = rest["set_id"] == rest["set_id"].iloc[-1] if len(rest) else []
+        if len(rest) and not open_.all():
+            yield of(rest[~open_])
+            rest = rest[open_]
+    if rest is not None and len(rest):
+        yield of(rest)
+
 
+def _coded(large: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Components (set_id, x, y) as numbers: edges (no, i, j), vertices (no, i, name) by their names, sets (set_id, no)."""
+    sets = written(large.select("set_id").distinct().withColumn("no", F.row_number().over(Window.orderBy("set_id"))))
+    edges = large.join(F.broadcast(sets), "set_id").select("no", "x", "y")
+    names = edges.select("no", F.explode(F.array("x", "y")).alias("name")).distinct()
+    vertices = written(names.withColumn("i", F.row_number().over(Window.partitionBy("no").orderBy("name")) - F.lit(1).cast("long")))
+    coded = edges.join(vertices.toDF("no", "x", "i"), ["no", "x"]).join(vertices.toDF("no", "y", "j"), ["no", "y"])
+    return written(coded.select("no", "i", "j")), vertices.select("no", "i", "name"), sets
 
-def _sampled_betweenness(both: DataFrame, sources: int) -> DataFrame:
-    """(set_id, a, b, betweenness) of components (set_id, u, v, both orientations), from `sources` vertices of each, chosen by hash.
 
-    All sources are followed at once, a level a round; rounds are as many as the longest shortest path from one.
+def _large_betweenness(edges: DataFrame, block_edges: int, sources: int) -> DataFrame:
+    """(no, i, j, betweenness): the edge most paths go through, of each component (no, i, j) of numbered vertices.
+
+    Blocks of more than block_edges edges are followed from all their vertices, which are divided among tasks.
     """
-    vertices = both.select("set_id", "u").distinct()
-    order = Window.partitionBy("set_id").orderBy(F.xxhash64("u"), "u")
-    chosen = vertices.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sources)
-    levels = [written(chosen.select("set_id", F.col("u").alias("s"), "u", F.lit(1.0).alias("paths")))]
-    while True:
-        ahead = levels[-1].join(both, ["set_id", "u"]).groupBy("set_id", "s", F.col("v").alias("u")).agg(F.sum("paths").alias("paths"))
-        for level in levels[-2:]:  # neighbours of a level lie on it or on one next to it
-            ahead = ahead.join(level.select("set_id", "s", "u"), ["set_id", "s", "u"], "left_anti")
-        ahead = written(ahead)
-        if ahead.isEmpty():
-            break
-        levels.append(ahead)
-    shares, parts = levels[-1].withColumn("share", F.lit(0.0)), []
-    for before in reversed(levels[:-1]):
-        down = shares.join(both, ["set_id", "u"]).select("set_id", "s", F.col("u").alias("w"), F.col("v").alias("u"), F.col("paths").alias("pw"), "share")
-        part = down.join(before, ["set_id", "s", "u"]).select("set_id", "s", "u", "w", (F.col("paths") / F.col("pw") * (1 + F.col("share"))).alias("part"))
-        part = written(part)
-        parts.append(part.select("set_id", F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b"), "part"))
-        total = part.groupBy("set_id", "s", "u").agg(F.sum("part").alias("share"))
-        shares = before.join(total, ["set_id", "s", "u"], "left").fillna({"share": 0.0})
-    whole = parts[0]
-    for more in parts[1:]:
-        whole = whole.unionByName(more)
-    sizes = vertices.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
-    many = F.least("n", F.lit(sources)) * (F.col("n") - 1)
-    return whole.groupBy("set_id", "a", "b").agg(F.sum("part").alias("t")).join(sizes, "set_id").select("set_id", "a", "b", (F.col("t") / many).alias("betweenness"))
+
+    def blocks(component: pd.DataFrame) -> pd.DataFrame:
+        u, v = component["i"].to_numpy(), component["j"].to_numpy()
+        n = int(max(u.max(), v.max())) + 1
+        loads, left = cuts.edge_loads(u, v, n, block_edges, sources)
+        rows = [(None, None, None, *(np.asarray(x, np.int64).tobytes() for x in block)) for block in left]
+        if not np.isnan(loads).all():
+            shares = loads / (n * (n - 1) / 2)
+            k = np.lexsort((v, u, -np.nan_to_num(shares, nan=-1.0).round(12)))[0]
+            rows.append((u[k], v[k], shares[k], None, None, None, None))
+        return pd.DataFrame([(component["no"].iloc[0], n, *row) for row in rows], columns=["no", "n", "i", "j", "betweenness", "u", "v", "weights", "vertices"])
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                u, v, weights, vertices = (np.frombuffer(x, np.int64) for x in (row.u, row.v, row.weights, row.vertices))
+                loads = cuts.followed_loads(u, v, weights, np.arange(row.part, len(weights), parts), sources)
+                i, j = vertices[u], vertices[v]
+                yield pd.DataFrame({"no": row.no, "n": row.n, "i": np.minimum(i, j), "j": np.maximum(i, j), "load": loads})
+
+    parts = 4 * edges.sparkSession.sparkContext.defaultParallelism
+    found = written(edges.groupBy("no").applyInPandas(blocks, "no int, n long, i long, j long, betweenness double, u binary, v binary, weights binary, vertices binary"))
+    most, left = found.where("u is null").select("no", "i", "j", "betweenness"), found.where("u is not null")
+    if not left.isEmpty():
+        tasks = left.select("no", "n", "u", "v", "weights", "vertices", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).repartition(parts)
+        loads = tasks.mapInPandas(follow, "no int, n long, i long, j long, load double").groupBy("no", "n", "i", "j").agg(F.sum("load").alias("load"))
+        most = most.unionByName(loads.select("no", "i", "j", (F.col("load") / (F.col("n") * (F.col("n") - 1) / 2)).alias("betweenness")))
+    best = F.min(F.struct((-F.round("betweenness", 12)).alias("less"), "i", "j", "betweenness"))
+    return most.groupBy("no").agg(best.alias("m")).select("no", "m.i", "m.j", "m.betweenness")
 
 
 def bottlenecks(pairs: DataFrame, a: str, b: str, min_edges: int = 4, top: int = 100, exact_edges: int = EXACT_EDGES, sources: int = SOURCES) -> DataFrame:
     """(set_id, term1, term2, betweenness, connectivity): the edge most paths go through, of each component of at least min_edges.
 
-    The components least connected come first. A component of more than exact_edges edges is treated by distributed
-    rounds: paths are followed from `sources` of its vertices, so that a betweenness is off by more than e with a
-    probability of at most 2 exp(-2 sources e^2), and its connectivity is an upper bound by power iteration. With as many
-    sources as vertices the betweenness is exact.
+    The components least connected come first; equal to 12 digits, by set_id. Only of those that come out the paths are
+    followed. Both figures are exact at every size: a component of more than exact_edges edges is reduced by elimination
+    for its connectivity and cut into blocks for its paths; in a block of more than exact_edges edges they are followed
+    from all its vertices by many tasks, from `sources` of them at once.
     """
     edges = pairs.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where("x <> y").distinct()
     placed = edges.join(merge_sets(edges, "x", "y").withColumnRenamed("member", "x"), "x")
     sized = placed.groupBy("set_id").agg(F.count(F.lit(1)).alias("n_edges")).where(F.col("n_edges") >= min_edges)
     placed = written(placed.join(sized, "set_id"))
-    schema = "set_id string, term1 string, term2 string, betweenness double, connectivity double"
+    parts = 4 * pairs.sparkSession.sparkContext.defaultParallelism
 
     def worst(component: pd.DataFrame) -> pd.DataFrame:
         names = sorted({*component["x"], *component["y"]})
         at = {name: k for k, name in enumerate(names)}
-        links = [(at[x], at[y]) for x, y in zip(component["x"], component["y"])]
-        through = edge_betweenness(links, len(names))
+        through = edge_betweenness([(at[x], at[y]) for x, y in zip(component["x"], component["y"])], len(names))
         (u, v), most = min(through.items(), key=lambda e: (-round(e[1], 12), e[0]))
-        row = (component["set_id"].iloc[0], names[u], names[v], most, algebraic_connectivity(links, len(names)))
-        return pd.DataFrame([row], columns=["set_id", "term1", "term2", "betweenness", "connectivity"])
+        return pd.DataFrame([(component["set_id"].iloc[0], names[u], names[v], most)], columns=["set_id", "term1", "term2", "betweenness"])
+
+    def reduced(component: pd.DataFrame) -> pd.DataFrame:
+        u, v = component["i"].to_numpy(), component["j"].to_numpy()
+        value = cuts.algebraic_connectivity(u, v, int(max(u.max(), v.max())) + 1)
+        return pd.DataFrame([(component["no"].iloc[0], value)], columns=["no", "connectivity"])
 
-    found = placed.where(F.col("n_edges") <= exact_edges).groupBy("set_id").applyInPandas(worst, schema)
+    small = placed.where(F.col("n_edges") <= exact_edges).select("set_id", "x", "y").repartition(parts, "set_id")
     large = placed.where(F.col("n_edges") > exact_edges).select("set_id", "x", "y")
-    if not large.isEmpty():
-        both = written(large.select("set_id", F.col("x").alias("u"), F.col("y").alias("v")).unionByName(large.select("set_id", F.col("y").alias("u"), F.col("x").alias("v"))))
-        through = _sampled_betweenness(both, sources)
-        best = F.min(F.struct((-F.round("betweenness", 12)).alias("less"), "a", "b", "betweenness"))
-        most = through.groupBy("set_id").agg(best.alias("m")).join(_connectivities(both), "set_id")
-        found = found.unionByName(most.select("set_id", F.col("m.a").alias("term1"), F.col("m.b").alias("term2"), "m.betweenness", "connectivity"))
-    return found.orderBy("connectivity", "set_id").limit(top)
+    connected = small.sortWithinPartitions("set_id").mapInPandas(_small_connectivities, "set_id string, connectivity double")
+    any_large = not large.isEmpty()
+    if any_large:
+        coded, vertices, sets = _coded(large)
+        values = coded.groupBy("no").applyInPandas(reduced, "no int, connectivity double")
+        connected = connected.unionByName(values.join(sets, "no").select("set_id", "connectivity"))
+    order = [F.round("connectivity", 12), "set_id"]
+    first = written(connected.orderBy(*order).limit(top))
+    found = small.join(first, "set_id", "left_semi").groupBy("set_id").applyInPandas(worst, "set_id string, term1 string, term2 string, betweenness double")
+    if any_large:
+        chosen = coded.join(sets.join(first, "set_id"), "no", "left_semi")
+        most = _large_betweenness(chosen, exact_edges, sources).join(sets, "no")
+        most = most.join(vertices.toDF("no", "i", "term1"), ["no", "i"]).join(vertices.toDF("no", "j", "term2"), ["no", "j"])
+        found = found.unionByName(most.select("set_id", "term1", "term2", "betweenness"))
+    return found.join(first, "set_id").select("set_id", "term1", "term2", "betweenness", "connectivity").orderBy(*order)
 
 
 def sector_number(sector: Column) -> Column:
